@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, sharding
+from tessera.llm import mixing, secret_scan, sharding, simhash
 from tessera.llm.common import table
 
 
@@ -14,10 +14,31 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array(*[F.lit(r.name) for r in secret_scan.RULES])
+    shown = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", F.get(names, x["ord"]), x["start"], x["end"])), ",")
+    count = lambda k: F.size(F.filter("spans", lambda x: x["ord"] == k)).cast("long")
+    return out.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(shown(F.filter("spans", lambda x: x["ord"] < 3)), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign(table(spark, sf_dir, "documents"), sharding.tree(40))
     return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op1_mix": op1_mix, "op3_shard": op3_shard}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=64, radius=2)
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+QUERIES = {
+    "op1_mix": op1_mix,
+    "op2_secrets": op2_secrets,
+    "op3_shard": op3_shard,
+    "op8_simhash": op8_simhash,
+}
 ORACLES: dict[str, str] = {}
