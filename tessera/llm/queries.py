@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, secret_scan, sharding, simhash
+from tessera.llm import lattice, mixing, secret_scan, sharding, simhash
 from tessera.llm.common import table
 
 
@@ -35,10 +35,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lattice.near_links(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_secrets": op2_secrets,
     "op3_shard": op3_shard,
     "op8_simhash": op8_simhash,
+    "op9_lattice": op9_lattice,
 }
 ORACLES: dict[str, str] = {}
