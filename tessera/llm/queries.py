@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import lattice, mixing, secret_scan, sharding, simhash
+from tessera.llm import language, lattice, mixing, packing, quality, secret_scan, sharding, simhash
 from tessera.llm.common import table
 
 
@@ -30,6 +30,23 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.identify(docs.select("doc_id", "text"), language.trained(docs))
+    return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.packed(table(spark, sf_dir, "documents"), word_tokenizer(), with_ids=False)
+    return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=64, radius=2)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -40,11 +57,19 @@ def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_secrets": op2_secrets,
     "op3_shard": op3_shard,
+    "op4_language": op4_language,
+    "op6_pack": op6_pack,
     "op8_simhash": op8_simhash,
     "op9_lattice": op9_lattice,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
