@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, lattice, mixing, packing, quality, secret_scan, sharding, simhash
+from tessera.llm import language, lattice, license_scan, mixing, packing, pii, quality, secret_scan, sharding, simhash
 from tessera.llm.common import table
 
 
@@ -36,6 +36,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(table(spark, sf_dir, "documents"))
+    shown = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"], m["end"], F.round(m["coverage"], 3)))
+    return out.select(F.col("id").alias("doc_id"), F.size("matches").cast("long").alias("n_matches"), F.array_join(shown, ",").alias("matches"))
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -47,6 +53,15 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+#: Whoever runs this on real data passes a secret.
+DEMO_KEY = "not-a-secret"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+    return out.select("doc_id", "text", *[f"n_{k}" for k in pii.KINDS])
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=64, radius=2)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -67,7 +82,9 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_shard": op3_shard,
     "op4_language": op4_language,
+    "op5_license": op5_license,
     "op6_pack": op6_pack,
+    "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
     "op9_lattice": op9_lattice,
     "op10_quality": op10_quality,
