@@ -13,6 +13,7 @@ repeated rows are packed each. Other columns of the input are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,36 +26,86 @@ from tessera.llm.common import buckets_for, ranked, stored
 
 CAPACITY, END = 4096, 1
 #: Words whose ids a worker remembers, twice at most.
-WORDS = 300_000
-#: Characters tokenized at a time.
+WORDS = 500_000
+#: Bytes tokenized at a time.
 CHUNK = 1 << 20
 
 
+#: Marks that may end a word: where they follow a letter, the tokenizer parts them from it.
+MARKS = b'.,;:!?*#$%&|)"'
+#: Words of small letters alone, with those of Latin-1: normalizer and splitter leave them whole.
+_plain = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in the vocabulary: itself if it is visible, else the next from U+0100 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordTokenizer:
-    """Ids of whole texts, word by word: this tokenizer drops white space and never joins what it parts, so that words are independent.
+    """Ids of whole texts, word by word, each word once: this tokenizer drops white space and joins nothing across it.
 
-    Cut at spaces, line feeds and tabs only; all else is left to the tokenizer.
+    It also lower-cases, so that A-Z may be lower-cased before (not where combining marks may follow, which bind to the
+    letter's case, or where a special token's name may stand), and parts marks from a letter before them, so that a word with marks is the word and the marks.
+    Words of plain letters go to the merges at once, past normalizer and splitter; the rest is left to the tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-
-        self.tokenizer, self.new, self.old = Tokenizer.from_file(path), {"": b""}, {}
-
-    def learn(self, words: set[str]) -> None:
-        missing = [w for w in words if w not in self.new]
-        if len(self.new) + len(missing) > WORDS:
-            self.old, self.new = self.new, {"": b""}
-            missing = [w for w in words if w]
-        unknown = [w for w in missing if w not in self.old]
-        self.new.update((w, self.old[w]) for w in missing if w in self.old)
-        for w, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            self.new[w] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Of each text, its ids as little-endian 32-bit integers."""
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        self.whole = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.whole.model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self.last = np.zeros(self.whole.get_vocab_size(), bool)  # ids that end a word
+        for token, i in self.whole.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        found = self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def encode_plain(self, words: list[bytes]) -> list[bytes]:
+        line = b" ".join(words)
+        text = line.decode() if line.isascii() else " ".join(w.decode("latin-1").translate(self.letters) for w in words)
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.nonzero(self.last[ids])[0] + 1)).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.new) > WORDS:
+            self.old, self.new = self.new, {}
+        plain, odd, marked = set(), set(), []
+        for w in words:
+            if w in self.new:
+                continue
+            if w in self.old:
+                self.new[w] = self.old[w]
+                continue
+            base = w.rstrip(MARKS)
+            parts = [w]
+            if base and len(base) < len(w) and 97 <= base[-1] <= 122:
+                parts = [base, w[len(base) :]]
+                marked.append((w, *parts))
+            for x in parts:
+                if x not in self.new:
+                    (plain if _plain(x) else odd).add(x)
+        for some, encode in ((plain, self.encode_plain), (odd, self.encode)):
+            if some:
+                self.new.update(zip(some, encode(list(some)), strict=True))
+        for w, base, marks in marked:
+            self.new[w] = self.new[base] + self.new[marks]
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Of each text (UTF-8), its ids as little-endian 32-bit integers."""
+        split = [(t if b"\xcc" in t or b"\xcd" in t or b"<|" in t else t.lower()).split() for t in texts]
         self.learn(set().union(*split))
         of = self.new.__getitem__
         return [b"".join(map(of, words)) for words in split]
@@ -71,7 +122,7 @@ def tokenizer_of(path: str) -> WordTokenizer:
 
 def pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: int = END, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids as little-endian 32-bit integers]) of each piece of each row."""
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     last = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,6 +55,9 @@ def whole(rows):
     return len(bins)
 
 
+ODD = ["a<|endoftext|>b 'S it's don't.' x|>. <|endoftext|>. O'RE, <|EndOfText|>", "\r\nnaïve é \u0301x\x0b\x1c y H\u0331 E\u0301 ÀÉÎ ÿß×÷ ñ.", "Hi!!! wh*** é.., a.b.c, 1234. 5,6 __x__ x_ ...", "İ Σας ΟΔΟΣ ﬁ ǅ 한글 \u1100\u1161 \u00a0\u2003z \x85q", "&&&. the,,, \U0001d518\U0001d52b. \ud7ff ½ x² z) (z \"q\""]
+
+
 def test_pieces_as_by_the_tokenizer(spark):
     rows = [*documents(), (7777, "a<|endoftext|>b 'S it's\r\nnaïve é ́x\x0b\x1c y", None, None, 0, 0, "s", "k", "f", "p")]
     got = packing.packed(frame(spark, rows), queries.word_tokenizer()).collect()
@@ -80,4 +83,4 @@ def test_forgetting_words_changes_nothing(monkeypatch):
     t = packing.WordTokenizer(queries.word_tokenizer())
     plain = Tokenizer.from_file(queries.word_tokenizer())
     for r in documents()[9:40]:
-        assert t.ids([r[1]])[0] == np.array(plain.encode(r[1], add_special_tokens=False).ids, "<u4").tobytes()
+        assert t.ids([r[1].encode()])[0] == np.array(plain.encode(r[1], add_special_tokens=False).ids, "<u4").tobytes()
