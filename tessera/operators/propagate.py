@@ -1,7 +1,7 @@
 """Iterated graph algorithms: propagation, spreading, diffusion, and solvers by conjugate gradients.
 
 A state is a table (id, x) with an array of one double per class. A step is a join of edges with the state on src and
-partial sums by dst. Lineage is cut by checkpoint() into the folder that driver and executors share, every few steps;
+partial sums by dst. Lineage is cut by checkpoint() into the folder that driver and executors share;
 what the driver sees of a step is a number per class.
 """
 
@@ -58,15 +58,14 @@ def residual(new: DataFrame, old: DataFrame) -> float:
 
 
 def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], n: int, tol: float | None = None, every: int = EVERY) -> DataFrame:
-    """n steps, or until the greatest change is at most tol (looked at whenever lineage is cut)."""
+    """n steps, or until the greatest change is at most tol (looked at every few steps).
+
+    Each step is cut: a plan of several steps takes longer to plan than its steps to run, and a lost executor costs one step.
+    """
     for i in range(1, n + 1):
-        new = step(state)
-        if i % every == 0 and (tol is not None or i < n):
-            new = cut(new)
-            if tol is not None:
-                last = step(new)
-                if residual(last, new) <= tol:
-                    return last
+        new = cut(step(state)) if i < n else step(state)
+        if tol is not None and i % every == 0 and i < n and residual(new, state) <= tol:
+            return new
         state = new
     return state
 
