@@ -78,7 +78,7 @@ def _spread(edges: DataFrame, state: DataFrame, size: int) -> DataFrame:
 
 def label_propagation(edges: DataFrame, labels: DataFrame, n_classes: int, steps: int = 200, tol: float | None = 1e-6, norm: str = "rw") -> DataFrame:
     """F <- P F, labelled rows clamped, rows divided by their sums."""
-    p, y = normalized(edges, norm, "dst").persist(), onehot(labels, n_classes).persist()
+    p, y = cut(normalized(edges, norm, "dst")), cut(onehot(labels, n_classes))
 
     def step(f: DataFrame) -> DataFrame:
         given = y.select("id", F.col("x").alias("y"), "known")
@@ -93,7 +93,7 @@ def label_spreading(edges: DataFrame, labels: DataFrame, n_classes: int, steps:
 
 
 def fixed_point(edges: DataFrame, y: DataFrame, size: int, steps: int, alpha: float = 0.99, tol: float | None = None, norm: str = "sym", by: str = "dst") -> DataFrame:
-    p, y = normalized(edges, norm, by).persist(), y.persist()
+    p, y = cut(normalized(edges, norm, by)), cut(y)
 
     def step(f: DataFrame) -> DataFrame:
         back = y.select("id", F.col("x").alias("y"))
@@ -110,7 +110,7 @@ def diffusion_view(edges: DataFrame, x: DataFrame, size: int, steps: int, alpha:
 
 def propagated(edges: DataFrame, x: DataFrame, size: int, steps: int, norm: str = "sym") -> DataFrame:
     """S^k X: the features of a simplified graph convolution."""
-    p = normalized(edges, norm, "dst").persist()
+    p = cut(normalized(edges, norm, "dst"))
     return iterate(x, lambda f: _spread(p, f, size), steps)
 
 
@@ -167,10 +167,10 @@ def affinity(edges: DataFrame) -> DataFrame:
 
 def laplace_learning(edges: DataFrame, labels: DataFrame, n_classes: int, tol: float = 1e-8, max_iter: int = 500) -> DataFrame:
     """Harmonic: L_uu F_u = W_ul Y_l on unlabelled nodes, labels kept. A part of the graph without a label stays 0."""
-    w, y = affinity(edges).persist(), onehot(labels, n_classes).persist()
-    free = y.filter("not known").select("id").persist()
-    deg = w.groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("deg"))
-    inner = w.join(free.select(F.col("id").alias("src")), "src", "left_semi").join(free.select(F.col("id").alias("dst")), "dst", "left_semi").persist()
+    w, y = cut(affinity(edges)), cut(onehot(labels, n_classes))
+    free = cut(y.filter("not known").select("id"))
+    deg = cut(w.groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("deg")))
+    inner = cut(w.join(free.select(F.col("id").alias("src")), "src", "left_semi").join(free.select(F.col("id").alias("dst")), "dst", "left_semi"))
     b = spmm(w, y.filter("known").select("id", "x"), n_classes).select("id", F.col("x").alias("b"))
     b = free.join(b, "id", "left").select("id", F.coalesce("b", zeros(n_classes)).alias("x"))
 
@@ -185,10 +185,10 @@ def laplace_learning(edges: DataFrame, labels: DataFrame, n_classes: int, tol: f
 
 def lazy_random_walk(edges: DataFrame, labels: DataFrame, alpha: float = 0.99, tol: float = 1e-8, max_iter: int = 500) -> DataFrame:
     """Two classes: (I - alpha S) f = y with y in {1, -1, 0}; hard 0 / 1 rows. An isolated node is an error."""
-    s = affinity(edges)
+    s = cut(affinity(edges))
     if labels.join(s.select(F.col("dst").alias("id")), "id", "left_anti").limit(1).count():
         raise ValueError("isolated nodes")
-    s = normalized(s, "sym", "dst").persist()
+    s = cut(normalized(s, "sym", "dst"))
     b = labels.select("id", F.array(F.when(F.col("y") == 1, 1.0).when(F.col("y") == 0, -1.0).otherwise(0.0)).alias("x"))
 
     def matvec(x: DataFrame) -> DataFrame:
@@ -212,7 +212,8 @@ def poisson_sources(labels: DataFrame, n_classes: int, centred: bool = True) ->
 
 def poisson_learning(edges: DataFrame, labels: DataFrame, n_classes: int, norm: str = "sym", eps: float = 1e-6, tol: float = 1e-6, max_iter: int = 200, centred: bool = True) -> DataFrame:
     """(L + eps I + 11'/n) f = b for each class."""
-    edges, b = edges.persist(), poisson_sources(labels, n_classes, centred)
+    labels = cut(labels)
+    edges, b = cut(edges), poisson_sources(labels, n_classes, centred)
 
     def matvec(x: DataFrame) -> DataFrame:
         row = x.agg(*[F.avg(F.col("x")[c]).alias(str(c)) for c in range(n_classes)]).first()
@@ -226,15 +227,17 @@ def poisson_learning(edges: DataFrame, labels: DataFrame, n_classes: int, norm:
 
 def poisson_mbo(edges: DataFrame, labels: DataFrame, n_classes: int, steps: int = 200, outer: int = 20, inner: int = 40, mu: float = 1.0, d_tau: float = 10.0, limits: tuple[float, float] = (0.5, 2.0), volume_steps: int = 100, prior: list[float] | None = None) -> DataFrame:
     """Poisson iterations, then rounds of diffusion with sources and a projection to classes whose volumes meet the prior."""
-    w = affinity(edges).persist()
-    b = poisson_sources(labels, n_classes).persist()
+    labels = cut(labels)
+    w = cut(affinity(edges))
+    b = cut(poisson_sources(labels, n_classes))
     known = labels.filter("y >= 0")
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     share = np.array([counts.get(c, 0) for c in range(n_classes)], float) / max(1, sum(counts.values()))
     if (share == 0).any():
         raise ValueError("a class without a labelled node")
     want = np.array(prior, float) / sum(prior) if prior else np.full(n_classes, 1 / n_classes)
-    deg = w.groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("deg")).persist()
+    deg = w.groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("deg"))
+    deg = cut(deg)
     top = deg.agg(F.max("deg").alias("m")).first()["m"]
     if not top or top <= 0:
         raise ValueError("no edge with a positive weight")
@@ -267,7 +270,8 @@ def p_laplace(edges: DataFrame, labels: DataFrame, n_classes: int, p: float = 3.
     """Rounds of weighted harmonic solves with weights w |f_i - f_j|^(p - 2), one class against the rest; softmax of the scores."""
     if p < 2:
         raise ValueError("p is at least 2")
-    w, outs = affinity(edges).persist(), None
+    labels = cut(labels)
+    w, outs = cut(affinity(edges)), None
     for c in range(n_classes):
         two = labels.select("id", F.when(F.col("y") < 0, -1).when(F.col("y") == c, 0).otherwise(1).alias("y"))
         f = laplace_learning(w, two, 2, tol, max_iter)

@@ -82,7 +82,10 @@ def graph_mincut(edges: DataFrame, labels: DataFrame, scale: float = 1000.0, lea
 
 
 def dynamic_label_propagation(edges: DataFrame, labels: DataFrame, n_classes: int, k: int = 10, alpha: float = 0.05, lam: float = 0.1, steps: int = 30) -> DataFrame:
-    """Y <- P_t Y with clamp; P_t <- P (P_t + alpha Y Y') P' + lam I, P keeping the k greatest entries of a row."""
+    """Y <- P_t Y with clamp; P_t <- P (P_t + alpha Y Y') P' + lam I, P keeping the k greatest entries of a row.
+
+    Rows of Y are divided by their sums, and P_t by its greatest row sum where that exceeds 1: else Y Y' grows without bound.
+    """
     ids, y, src, dst, w = _fetch(affinity(edges), labels, MAX_DENSE)
     a = np.zeros((len(ids), len(ids)))
     np.add.at(a, (dst, src), w)
@@ -98,8 +101,10 @@ def dynamic_label_propagation(edges: DataFrame, labels: DataFrame, n_classes: in
     f, pt, known = y0.copy(), p0, y >= 0
     for _ in range(steps):
         new = pt @ f
+        new = new / np.maximum(new.sum(1, keepdims=True), 1e-300)
         new[known] = y0[known]
         pt = p @ (pt + alpha * f @ f.T) @ p.T + lam * np.eye(len(ids))
+        pt /= max(1.0, pt.sum(1).max())
         f = new
     return _frame(labels, ids, f)
 
