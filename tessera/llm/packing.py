@@ -26,9 +26,11 @@ from tessera.llm.common import buckets_for, ranked, stored
 
 CAPACITY, END = 4096, 1
 #: Words whose ids a worker remembers, twice at most.
-WORDS = 500_000
+WORDS = 400_000
 #: Bytes tokenized at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 21
+#: Words handed to the tokenizer at a time: what it keeps of a text is many times the text.
+HANDED = 8192
 
 
 #: Marks that may end a word: where they follow a letter, the tokenizer parts them from it.
@@ -98,8 +100,10 @@ class WordTokenizer:
                 if x not in self.new:
                     (plain if _plain(x) else odd).add(x)
         for some, encode in ((plain, self.encode_plain), (odd, self.encode)):
-            if some:
-                self.new.update(zip(some, encode(list(some)), strict=True))
+            words_left = list(some)
+            for at in range(0, len(words_left), HANDED):
+                part = words_left[at : at + HANDED]
+                self.new.update(zip(part, encode(part), strict=True))
         for w, base, marks in marked:
             self.new[w] = self.new[base] + self.new[marks]
 
