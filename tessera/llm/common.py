@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -31,13 +32,29 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: a lost executor costs no recomputation, and the plan starts anew."""
+    """Write df to the shared folder and read it again: a lost executor costs no recomputation, and the plan starts anew.
+
+    Tables stay for the session, as results may be read late; they lie in a folder of the application and go with it.
+    """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    home = f"{work_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+    if home not in _homes:
+        _homes.add(home)
+        atexit.register(_remove, spark, home)
+    path = f"{home}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_homes: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def buckets_for(n_rows: int) -> int:
     return max(LEAST_BUCKETS, -(-n_rows // BUCKET_ROWS))
 

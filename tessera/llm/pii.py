@@ -28,7 +28,7 @@ PATTERNS = {
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![\d]|\.\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{3}\)?|\(\d{3}\)|\d{3})[ .-]\d{3}[ .-]\d{4}(?!\d)",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|(?:\(\d{3}\)|\d{3})[ .-]\d{3}[ .-]\d{4})(?![\d])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
 }
 KINDS = list(PATTERNS)
@@ -99,8 +99,14 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The last ten digits are permuted; the country code stays."""
-    return _let(_digits(m), lambda d: _refilled(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), permuted_digits(F.substring(d, F.length(d) - 9, F.lit(10)), "phone", key))))
+    """8 to 15 digits, of which the last ten at most are permuted: equal numbers agree with and without a country code."""
+
+    def made(d: Column) -> Column:
+        n = F.length(d)
+        k = F.least(F.lit(10), n - F.when(F.startswith(m, F.lit("+")), 1).otherwise(0))
+        return F.when(n.between(8, 15), _refilled(m, F.concat(F.substring(d, F.lit(1), n - k), permuted_digits(F.substring(d, n - k + 1, k), "phone", key))))
+
+    return _let(_digits(m), made)
 
 
 def _ssn(m: Column, key: str) -> Column:

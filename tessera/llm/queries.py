@@ -89,4 +89,10 @@ QUERIES = {
     "op9_lattice": op9_lattice,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
+#: By brute force, where that is SQL. The others rest on hashes, automata, tokenizers or fitted models that SQL has not; tests/llm holds them against brute force in Python.
+ORACLES: dict[str, str] = {
+    "op9_lattice": """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), n AS MATERIALIZED (SELECT *, sqrt(list_dot_product(x, x)) AS r FROM v),
+p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.x, b.x) / (a.r * b.r) >= 0.95),
+w(id, o) AS (SELECT vec_id, vec_id FROM v UNION SELECT w.id, p.b FROM w JOIN p ON p.a = w.o), c AS (SELECT id, min(o) AS component_id FROM w GROUP BY 1), l AS (SELECT a, count(*) AS k FROM p GROUP BY 1)
+SELECT id AS vec_id, coalesce(k, 0) AS n_links, component_id, id = component_id AS kept FROM c LEFT JOIN l ON l.a = c.id""",
+}

@@ -15,6 +15,7 @@ TEXTS = [
     "1234 12 3.14 v1.2.3 2020 " + "a" * 60_000 + " " + "1" * 60_000,
     None,
     "",
+    "dial +44 20 7946 0958, +33 1 23 45 67 89, +14155551234 or +12",
 ]
 
 
@@ -41,6 +42,8 @@ def test_each_kind_keeps_its_format_and_links(spark):
     assert len(set(days)) == 1 and days[0] != datetime.date(1984, 2, 29) and got[3]["n_date"] == 3
     e = re.match(r"mail (u[0-9a-f]{16}@example.org) twice (u[0-9a-f]{16}@example.org), a@b, @c.d$", got[4]["text"])
     assert e[1] == e[2] and got[4]["n_email"] == 2
+    a, b, c = re.match(r"dial \+(44 \d\d \d{4} \d{4}), \+(3\d \d(?: \d\d){4}), \+(1\d{10}) or \+12$", got[8]["text"]).groups()
+    assert a != "44 20 7946 0958" and b != "33 1 23 45 67 89" and c != "14155551234" and got[8]["n_phone"] == 3
     assert got[5]["text"] == TEXTS[5] and got[6]["text"] is None and got[7]["text"] == "" and got[6]["n_card"] == 0
 
 
