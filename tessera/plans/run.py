@@ -169,12 +169,14 @@ METHODS = {
         "label_propagation": _propagation(propagate.label_propagation), "label_spreading": _propagation(propagate.label_spreading), "laplace_learning": _propagation(propagate.laplace_learning), "poisson_learning": _propagation(propagate.poisson_learning),
         "poisson_mbo": _propagation(propagate.poisson_mbo), "p_laplace_learning": _propagation(propagate.p_laplace), "dynamic_label_propagation": _propagation(small.dynamic_label_propagation),
         "lazy_random_walk": lambda ctx, p: propagate.lazy_random_walk(ctx["edges"], ctx["observed"], **p), "graph_mincuts": lambda ctx, p: small.graph_mincut(ctx["edges"], ctx["observed"], **p),
-        "tsvm": lambda ctx, p: small.tsvm(ctx["rows"].join(ctx["observed"], "id"), **p), "sgc": _network(deep.sgc), "gcn": _network(deep.gcn), "graphsage": _network(deep.graphsage), "n_gcn": _network(deep.n_gcn), "graphhop": _network(deep.graphhop),
+        "tsvm": lambda ctx, p: small.tsvm(ctx["rows"].join(ctx["observed"], "id"), **p), "sgc": _network(deep.sgc), "gcn": _network(deep.gcn), "graphsage": _network(deep.graphsage), "n_gcn": _network(deep.n_gcn), "graphhop": _network(deep.graphhop), "chebnet": _network(deep.chebnet), "gcnii": _network(deep.gcnii), "gat": _network(deep.gat), "grand": _network(deep.grand), "h_gcn": _network(deep.h_gcn), "grafn": _network(deep.grafn),
+        "planetoid": lambda ctx, p: deep.planetoid(ctx["edges"], ctx["rows"], ctx["observed"], ctx["n_classes"], **p),
         "appnp": lambda ctx, p: deep.appnp(ctx["edges"], ctx["rows"], ctx["observed"], ctx["n_classes"], **p),
     },
     "inductive": {
         "supervised": _supervised, "pseudo_label": _selflabel(selflabel.pseudo_label), "self_training": _selflabel(selflabel.self_training), "setred": _selflabel(selflabel.setred), "co_training": _co, "tri_training": _tri,
-        "democratic_co_learning": _democratic, "s4vm": _s4vm, **{m: _consistency(m) for m in deep.RULES},
+        "democratic_co_learning": _democratic, "s4vm": _s4vm, "trinet": lambda ctx, p: deep.trinet(ctx["labelled"], ctx["pool"], ctx["n_classes"], **p).scores(ctx["rows"]), "meta_pseudo_labels": lambda ctx, p: deep.meta_pseudo_labels(ctx["labelled"], ctx["pool"], ctx["n_classes"], **p).scores(ctx["rows"]),
+        "deep_co_training": lambda ctx, p: deep.deep_co_training(ctx["labelled"], ctx["weak"], ctx["strong"], ctx["n_classes"], **p).scores(ctx["rows"]), **{m: _consistency(m) for m in deep.RULES},
     },
 }
 #: Names of parameters as configurations have them.
@@ -215,7 +217,7 @@ def prepare(spark: SparkSession, config: dict) -> dict[str, Any]:
         ctx |= {"chosen": chosen, "row_views": views.with_views(rows, both), "labelled_views": views.with_views(labelled, both), "pool_views": views.with_views(pool, both)}
     if config.get("graph", {}).get("enabled", "graph" in config):
         ctx["edges"] = propagate.cut(data["edges"] if "edges" in data else edges.build_graph(rows.join(assignment.select("id"), "id"), graph_spec(config["graph"].get("spec", {}))))
-    if config["method"]["id"] in deep.RULES:
+    if config["method"]["id"] in {*deep.RULES, "deep_co_training"}:
         a = config.get("augmentation", {})
         steps = lambda k, d: [(s["id"], s.get("params", {})) for s in a.get(k, {}).get("steps", [])] or d
         both = weak_and_strong(pool, "x", steps("weak", [("core.identity", {})]), steps("strong", [("tabular.gaussian_noise", {})]), a.get("seed", seed))

@@ -241,15 +241,22 @@ def test_democratic_figures():
     assert selflabel.worthwhile(10, 0.0, 5, 1.0) == (True, 0.0) and not selflabel.worthwhile(10, 0.0, 5, 0.0)[0]
 
 
-@pytest.mark.parametrize("method", ["fixmatch", "softmatch", "adamatch", "mean_teacher"])
+@pytest.mark.parametrize("method", ["fixmatch", "softmatch", "adamatch", "mean_teacher", "comatch", "daso"])
 def test_consistency_training(square, method):
-    rows, known, pool = square
+    rows, known, pool = (df.withColumn("x", F.transform("x", lambda v: v - 1.5)) for df in square)  # cosines tell the classes apart about the middle
     model = deep.train(method, known, pool, pool, 2, rounds=1, base=classifiers.Student(steps=8), threshold=0.6)
     assert np.mean([r["p"] == r["id"] % 2 for r in classifiers.predicted(model.scores(rows)).collect()]) >= 0.95
     with pytest.raises(NotImplementedError):
         deep.train("vat", known, pool, pool, 2)
 
 
+def test_committees(square):
+    rows, known, pool = square
+    base = classifiers.Student(steps=8)
+    for m in (deep.trinet(known, pool, 2, 1, base=base), deep.deep_co_training(known, pool, pool, 2, 1, base), deep.meta_pseudo_labels(known, pool, 2, 2, base)):
+        assert np.mean([r["p"] == r["id"] % 2 for r in classifiers.predicted(m.scores(rows)).collect()]) >= 0.95
+
+
 def test_kernels(spark):
     assert thresholds.flexmatch_threshold({0: 1.0, 1: 0.5}) == {0: 0.95, 1: 0.95 / 3}
     assert thresholds.tsa_threshold(5, 10, 4) == 0.625 and thresholds.tsa_threshold(1, 10, 4, "none") == 1.0
@@ -277,7 +284,7 @@ def test_networks_recover_clusters(spark, clusters):
     e, y = clusters
     x = frame(spark, [(i, [1.0, 0.0] if i < 3 else [0.0, 1.0]) for i in range(6)], "id long, x array<double>")
     base = classifiers.Student(steps=8)
-    for scores in (deep.sgc(e, x, y, 2, 2, base=base), deep.graphsage(e, x, y, 2, 2, base=base), deep.appnp(e, x, y, 2, 2, base=base)):
+    for scores in (deep.sgc(e, x, y, 2, 2, base=base), deep.graphsage(e, x, y, 2, 2, base=base), deep.appnp(e, x, y, 2, 2, base=base), deep.chebnet(e, x, y, 2, 2, 3, base), deep.gcnii(e, x, y, 2, 2, 3, base=base), deep.gat(e, x, y, 2, 2, base), deep.grand(e, x, y, 2, 2, 2, 2, 0.2, base=base), deep.h_gcn(e, x, y, 2, 2, base), deep.grafn(e, x, y, 2, 2, base=base), deep.planetoid(e, x, y, 2, 4, base, length=4, per_node=2)):
         assert {r["id"]: r["p"] for r in propagate.predictions(scores).collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1}
 
 
