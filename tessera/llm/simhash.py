@@ -237,8 +237,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, bits: int = 64, radius
     return known.join(by_fp, F.col("fp") == F.col("k")).select("id", "fp", "component")
 
 
-#: For a similarity of 0.8: set cosine 2s / (1 + s) = 0.889, an angle of 27.3 degrees, 15.2 % of the bits.
-WIDE_BITS, WIDE_RADIUS, WIDE_BANDS, WIDE_WIDTH = 512, 78, 32, 18
+#: At a similarity of 0.8 the set cosine 2s / (1 + s) is 0.889, the angle 27.3 degrees, and 78 of 512 bits differ, give or take 8; the radius leaves room for that.
+WIDE_BITS, WIDE_RADIUS, WIDE_BANDS, WIDE_WIDTH = 512, 88, 32, 16
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
