@@ -3,7 +3,7 @@
 Each stage takes the documents that its predecessor kept and returns documents again; the last returns packed pieces.
 
 1. language_id drops documents of no language (`und`: null, or without a letter); a null lang becomes the predicted one.
-2. near_dedup keeps one document of each group of near copies (five-word shingles, similarity 0.8 or more).
+2. near_dedup keeps one document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more, verified).
 3. secret_scan replaces secrets by a mark; documents stay, and n_chars follows the text.
 4. mix repeats and leaves out documents so that sources come near their weights (5, 2, 1 in turn, 150 % of all words).
 5. pack cuts documents into pieces of at most 4096 tokens and packs these into as few sequences as it can.

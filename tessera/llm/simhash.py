@@ -237,19 +237,131 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, bits: int = 64, radius
     return known.join(by_fp, F.col("fp") == F.col("k")).select("id", "fp", "component")
 
 
-#: At a similarity of 0.8 the set cosine 2s / (1 + s) is 0.889, the angle 27.3 degrees, and 78 of 512 bits differ, give or take 8; the radius leaves room for that.
-WIDE_BITS, WIDE_RADIUS, WIDE_BANDS, WIDE_WIDTH = 512, 88, 32, 16
+#: At a similarity of 0.8 the set cosine 2s / (1 + s) is 0.889, the angle 27.3 degrees, and 78 of 512 bits differ, give or take 8; small sets differ in up to 96. Candidates only: wide.
+WIDE_BITS, WIDE_RADIUS, WIDE_BANDS, WIDE_WIDTH = 512, 112, 32, 16
+#: Least hashes that cover the collisions that the bands of bits miss: at 0.8 all of COVER bands miss with a probability of (1 - 0.8 ** 5) ** 28 = 1.5e-5.
+COVER, COVER_WIDTH = 28, 5
+#: Shingles of a group of candidates from which it is cut into tiles.
+TILE_SHINGLES = 1 << 17
+_FACTORS = np.random.default_rng(13).integers(0, 1 << 63, (COVER * COVER_WIDTH, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, shingle), np.uint64))
+
+
+def cover_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of least hashes under COVER_WIDTH orders."""
+    least = np.full(COVER * COVER_WIDTH, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), SHINGLES):
+        least = np.minimum(least, (hashes[None, at : at + SHINGLES] * _FACTORS).min(1))
+    keys = np.arange(COVER, dtype=np.uint64)
+    for column in least.reshape(COVER, COVER_WIDTH).T:
+        keys = _mix(keys ^ column) + np.uint64(0x9E3779B97F4A7C15)
+    return keys.view(np.int64)
+
+
+def verified_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Classes (least index) by pairs of left and right whose sets have a Jaccard similarity of 0.8 or more; pairs already of a class are passed over."""
+    size = np.array([len(x) for x in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size)])
+    mark, parent = np.zeros(int(code.max()) + 1, bool), np.arange(len(sets))
+    for i in left:
+        own = code[start[i] : start[i + 1]]
+        mark[own] = True
+        rest = right[(5 * np.minimum(size[right], size[i]) >= 4 * np.maximum(size[right], size[i])) & (right != i)]
+        step = 16
+        while len(rest := rest[parent[rest] != parent[i]]):
+            now, rest = rest[:step], rest[step:]
+            ends = np.cumsum(size[now])
+            at = np.arange(ends[-1]) + np.repeat(start[now] - (ends - size[now]), size[now])
+            common = np.add.reduceat(mark[code[at]].astype(np.int64), ends - size[now])
+            linked = now[9 * common >= 4 * (size[now] + size[i])]  # common >= 0.8 of the union
+            if len(linked):
+                parent = _unite(parent, np.full(len(linked), i), linked)
+            step = min(4 * step, 256)
+        mark[own] = False
+    return parent
+
+
+def _cover_links(sets: DataFrame) -> DataFrame:
+    """(u, v): each set that shares a key of least hashes, with the first that has it."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), COVER))], ["key", "c"])
+
+    keyed = sets.select("c", "cover").mapInArrow(dealt, "key long, c long")
+    least = keyed.groupBy("key").agg(F.min("c").alias("v"), F.max("c").alias("most")).filter("v <> most").select(F.col("key").alias("k"), "v")
+    return keyed.join(least, F.col("key") == F.col("k")).filter("c <> v").select(F.col("c").alias("u"), "v").distinct()
+
+
+def similar_rows(rows: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, class) of each row of rows (`_row`: a stored number): classes by links of five-word shingle sets at a Jaccard similarity of 0.8 or more.
+
+    Candidates share a band of fingerprint bits within WIDE_RADIUS, or a band of least hashes; whatever candidates lead to
+    is one group, and all pairs of a group are verified on their sets, which travel once (a large group's: once a tile).
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [shingle_set(t.as_py()) for t in b.column(2)]
+            fps = [fingerprint(h, WIDE_BITS) for h in got]
+            made = [pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in got], pa.binary()), pa.array(fps, pa.binary()), pa.array([cover_keys(h).tobytes() for h in got], pa.binary()), pa.array([len(h) for h in got], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["row", "id", "set", "fp", "cover", "n"])
+
+    base = rows.select(F.col("_row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    out = StructType([base.schema["row"], base.schema["id"], *[StructField(k, BinaryType()) for k in ("set", "fp", "cover")], StructField("n", LongType())])
+    known = stored(base.mapInArrow(read, out), "simhash")
+    sets = known.groupBy("set").agg(F.min("row").alias("first"), F.min("fp").alias("fp"), F.min("cover").alias("cover"), F.min("n").alias("n"))
+    sets = stored(sets.withColumn("c", F.xxhash64("fp")), "sets")  # equal numbers only make candidates
+    bits = links(sets.select("fp").distinct(), sampled_bands(WIDE_BITS, WIDE_BANDS, WIDE_WIDTH), WIDE_RADIUS)
+    groups = components(bits.select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v")).union(_cover_links(sets)))
+    members = stored(sets.join(groups, F.col("c") == F.col("node"), "left").select("set", "first", "n", F.coalesce("root", "c").alias("group")), "candidates")
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("k"), F.ceil(F.sum("n") / TILE_SHINGLES).cast("int").alias("tiles")).filter("k > 1").select(F.col("group").alias("g"), "tiles")
+    members = members.join(sizes, F.col("group") == F.col("g")).withColumn("tile", F.pmod(F.xxhash64("set"), F.col("tiles")).cast("int"))
+    texts = members.join(base, F.col("first") == F.col("row")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = texts.select("group", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "set", "text")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(run: list[tuple[int, bytes, np.ndarray]], cross: bool) -> pa.RecordBatch | None:
+            tile, every = np.array([x[0] for x in run]), np.arange(len(run))
+            left, right = (every[tile == tile.min()], every[tile != tile.min()]) if cross else (every, every)
+            if len(run) < 2 or cross and not len(right):
+                return None
+            root = verified_links([x[2] for x in run], left, right)
+            up = np.nonzero(root != every)[0]
+            return pa.RecordBatch.from_arrays([pa.array([run[i][1] for i in up], pa.binary()), pa.array([run[root[i]][1] for i in up], pa.binary())], ["u", "v"]) if len(up) else None
+
+        mark, run = None, []
+        for b in batches:
+            for at in range(0, b.num_rows, 64):  # few texts at a time
+                for group, low, high, tile, key, text in zip(*[c.to_pylist() for c in b.slice(at, 64).columns], strict=True):
+                    if (group, low, high) != mark:
+                        if run and (out := linked(run, mark[1] != mark[2])) is not None:
+                            yield out
+                        mark, run = (group, low, high), []
+                    run.append((tile, key, shingle_set(text)))
+        if run and (out := linked(run, mark[1] != mark[2])) is not None:
+            yield out
+
+    dealt = tiled.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
+    found = components(dealt.mapInArrow(verified, "u binary, v binary"))
+    return known.join(found, F.col("set") == F.col("node"), "left").select("row", "id", F.coalesce("root", "set").alias("class"))
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near copies (five-word shingles, similarity about 0.8 or more): the least id of each group stays, once.
+    """The rows of docs without near copies (five-word shingles, Jaccard similarity 0.8 or more, and what such links lead to): the least id of each group stays, once.
 
     Texts without a word are no copies of each other: they all stay.
     """
     has = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    full = docs.filter(has)
-    classes = near_duplicates(full, shingle=5, bits=WIDE_BITS, radius=WIDE_RADIUS, bands=sampled_bands(WIDE_BITS, WIDE_BANDS, WIDE_WIDTH), distinct=True, id_col=id_col, text_col=text_col)
-    gone = classes.filter("id <> component").select(F.col("id").alias("_gone")).distinct()
-    kept = full.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    full = stored(docs.filter(has).withColumn("_row", F.monotonically_increasing_id()), "rows")  # once written, the numbers stay
+    similar = stored(similar_rows(full, id_col=id_col, text_col=text_col), "classes")
+    least = similar.groupBy("class").agg(F.min("id").alias("component"))
+    gone = similar.join(least, "class").filter("id <> component").select(F.col("id").alias("_gone")).distinct()
+    kept = full.drop("_row").join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
     again = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])  # an id that comes twice names its first row
     return again.unionByName(kept.filter(F.col(id_col).isNull())).unionByName(docs.filter(~has))

@@ -91,3 +91,27 @@ def test_deduplicated(spark):
     assert set(texts) <= base and sum("changed" in (t or "") for t in texts) == 1
     assert sum(not (t or "").strip() for t in texts) == 3
     assert simhash.deduplicated(frame(spark, [])).count() == 0
+
+
+def test_dedup_decides_on_the_shingles(spark, monkeypatch):
+    rng, rows, want = random.Random(8), [], set()
+    say = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    for g in range(300):
+        w = say(104)  # 100 shingles
+        lost = (11, 12, 25)[g % 3]  # Jaccard 89 / 111 = 0.802, 88 / 112 = 0.786, 75 / 125 = 0.6
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w[:-lost] + say(lost)))]
+        want |= {2 * g} if g % 3 == 0 else {2 * g, 2 * g + 1}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (simhash.TILE_SHINGLES, 150):  # the second cuts every pair into tiles
+        monkeypatch.setattr(simhash, "TILE_SHINGLES", tile)
+        assert {r["doc_id"] for r in simhash.deduplicated(df).collect()} == want
+
+
+def test_verified_links_as_by_brute_force():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.choice(40, rng.integers(20, 40), replace=False).astype(np.uint64)) for _ in range(60)]
+    near = np.array([[9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b)) for b in sets] for a in sets])
+    want = np.arange(60)
+    for _ in range(60):
+        want = np.array([want[near[i]].min() for i in range(60)])
+    assert near.sum() > 60 and (simhash.verified_links(sets, np.arange(60), np.arange(60)) == want).all()
