@@ -23,14 +23,21 @@ FIRST_DAY, DAYS = "1900-01-01", (271, 270)
 
 #: What each kind looks like (Java syntax). No part can be tried from inside a longer run of its characters.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_N = r"(?:[ .-]?\(?\d\)?){{{}}}(?!\d)"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}+",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![\d]|\.\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|(?:\(\d{3}\)|\d{3})[ .-]\d{3}[ .-]\d{4})(?![\d])",
-    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    # countries of one length of number: so many digits and not the next number; others: groups; without a country code
+    "phone": r"(?<![\w+])(?:\+(?:(?:4[57]|65)" + _N.format(8) + r"|(?:27|3[134]|4[018]|61|351|353|380)" + _N.format(9) + r"|(?:1|7|20|30|44|52|9[01])" + _N.format(10) + r"|86" + _N.format(11) + r")"
+    r"|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\d])",
 }
+#: Runs of 13 digits or more, up to where another kind begins.
+PATTERNS["card"] = r"(?<![\d-])(?=\d(?:[ -]?\d){12})\d++(?:[ -](?!" + "|".join(PATTERNS[k] for k in ("date", "ssn", "ip", "phone")) + r")\d++)*+"
+#: What is looked for in a run: cards as they are written, at each border of groups; if there is none, any grouping of the run itself.
+CARDS = [r"\d{13,19}(?!\d)", r"\d{4}(?:[ -]\d{4}){3}(?!\d)", r"\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)", r"\d{4}(?:[ -]\d{4}){2,3}[ -]\d{1,3}(?!\d)"]
+ANY_CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"
 KINDS = list(PATTERNS)
 
 
@@ -89,15 +96,46 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
-def _card(m: Column, key: str) -> Column:
+def _one_card(m: Column, key: str) -> Column:
     def made(d: Column) -> Column:
         body = permuted_digits(F.substring(d, F.lit(1), F.length(d) - 1), "card", key)
-        full = _let(body, lambda p: F.concat(p, ((10 - luhn(F.concat(p, F.lit("0"))) % 10) % 10).cast("string")))
-        return F.when(luhn(d) % 10 == 0, _refilled(m, full))
+        return _refilled(m, _let(body, lambda p: F.concat(p, ((10 - luhn(F.concat(p, F.lit("0"))) % 10) % 10).cast("string"))))
 
     return _let(_digits(m), made)
 
 
+def _valid(m: Column) -> Column:
+    return F.when(F.length(m) > 0, F.when(luhn(_digits(m)) % 10 == 0, m))
+
+
+def _card(m: Column, key: str) -> Column:
+    """(value, n): the run with its n cards replaced, from left to right; null without one."""
+    text = lambda a, b: F.substring(m, a, b - a)
+    end = F.length(m) + 1
+    borders = F.filter(F.sequence(F.lit(1), F.length(m)), lambda p: F.substring(m, p, F.lit(1)).between("0", "9") & ((p == 1) | ~F.substring(m, p - 1, F.lit(1)).between("0", "9")))
+
+    def step(s: Column, p: Column) -> Column:
+        def found(c: Column) -> Column:
+            kept = F.struct(F.concat(s["out"], text(s["at"], p), _one_card(c, key)).alias("out"), (p + F.length(c)).alias("at"), (s["n"] + 1).alias("n"))
+            return F.when(c.isNotNull(), kept).otherwise(s)
+
+        first = _let(F.substring(m, p, end - p), lambda rest: F.coalesce(*[_valid(F.regexp_extract(rest, f"^(?:{c})", 0)) for c in CARDS]))
+        return F.when(p < s["at"], s).otherwise(_let(first, found))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"), F.lit(0).alias("n"))
+    strict = F.aggregate(borders, start, step, lambda s: F.struct(F.when(s["n"] > 0, F.concat(s["out"], text(s["at"], end))).alias("value"), s["n"].alias("n")))
+    whole = F.transform(F.regexp_extract_all(m, F.lit(ANY_CARD), F.lit(0)), lambda x: F.struct(x.alias("x"), F.when(luhn(_digits(x)) % 10 == 0, _one_card(x, key)).alias("y")))
+
+    def loose(found: Column) -> Column:
+        n = F.size(F.filter(found, lambda x: x["y"].isNotNull()))
+        pieces = F.zip_with(F.split(m, ANY_CARD, -1), found, lambda gap, x: F.concat(gap, F.coalesce(x["y"], x["x"], F.lit(""))))
+        return F.struct(F.when(n > 0, F.array_join(pieces, "")).alias("value"), n.alias("n"))
+
+    any_strict = m.rlike(r"(?<!\d)(?:" + "|".join(CARDS) + ")")
+    tried = F.when(any_strict, strict).otherwise(F.struct(F.lit(None).cast("string").alias("value"), F.lit(0).alias("n")))
+    return _let(tried, lambda t: F.when(t["n"] > 0, t).otherwise(_let(whole, loose)))
+
+
 def _phone(m: Column, key: str) -> Column:
     """8 to 15 digits, of which the last ten at most are permuted: equal numbers agree with and without a country code."""
 
@@ -157,8 +195,8 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 16), F.lit("@example.org"))
 
 
-def _only(kind: str):
-    return lambda k: F.when(k == kind, k)
+def _more(kind: str):
+    return lambda n, x: n + F.when(x["kind"] == kind, x["n"]).otherwise(0)
 
 
 MAKERS = {"email": _email, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "card": _card}
@@ -167,14 +205,16 @@ MAKERS = {"email": _email, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phon
 def pseudonymised(docs: DataFrame, key: str, *, text_col: str = "text", kinds: list[str] = KINDS) -> DataFrame:
     """docs with the personal data of the text replaced, and the number of values replaced of each kind (n_email, ...)."""
     text, every = F.col(text_col), "|".join(f"(?:{PATTERNS[k]})" for k in kinds)
-    counted = "array<struct<kind: string, value: string>>"
+    counted = "array<struct<kind: string, value: string, n: int>>"
 
     def replaced(m: Column) -> Column:
-        kind, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+        kind = F.lit(None).cast("string")
+        made = F.struct(F.lit(None).cast("string").alias("value"), F.lit(0).alias("n"))
         for k in reversed(kinds):
             alone = m.rlike(rf"\A(?:{PATTERNS[k]})\z")
-            kind, value = F.when(alone, F.lit(k)).otherwise(kind), F.when(alone, MAKERS[k](m, key)).otherwise(value)
-        return F.struct(kind.alias("kind"), value.alias("value"))
+            one = MAKERS[k](m, key) if k == "card" else _let(MAKERS[k](m, key), lambda v: F.struct(v.alias("value"), v.isNotNull().cast("int").alias("n")))
+            kind, made = F.when(alone, F.lit(k)).otherwise(kind), F.when(alone, one).otherwise(made)
+        return _let(made, lambda x: F.struct(kind.alias("kind"), x["value"].alias("value"), x["n"].alias("n")))
 
     found = F.regexp_extract_all(text, F.lit(every), F.lit(0))
     hit = F.coalesce(text.rlike(every), F.lit(False))
@@ -182,6 +222,5 @@ def pseudonymised(docs: DataFrame, key: str, *, text_col: str = "text", kinds: l
     met = met.withColumn("_pii_made", F.transform("_pii_found", replaced).cast(counted))
     pieces = F.zip_with(F.split(text, every, -1), F.zip_with("_pii_found", "_pii_made", lambda m, x: F.coalesce(x["value"], m)), lambda gap, v: F.concat(gap, F.coalesce(v, F.lit(""))))
     met = met.withColumn(text_col, F.when(F.size("_pii_found") > 0, F.array_join(pieces, "")).otherwise(text))
-    done = F.transform(F.filter("_pii_made", lambda x: x["value"].isNotNull()), lambda x: x["kind"])
-    counts = {f"n_{k}": F.size(F.array_compact(F.transform(done, _only(k)))).cast("long") for k in kinds}
+    counts = {f"n_{k}": F.aggregate("_pii_made", F.lit(0).cast("long"), _more(k)) for k in kinds}
     return met.withColumns(counts).drop("_pii_found", "_pii_made")

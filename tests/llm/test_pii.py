@@ -75,3 +75,23 @@ def test_no_planted_value_is_left(spark):
             for v in re.findall(pattern, t):
                 if pattern != r"\b\d{16}\b" or luhn_ok(v):
                     assert v not in after[k], v
+
+
+def test_addresses_at_the_end_of_a_sentence(spark):
+    texts = ["Write to bob@example.com. Next", "bob@example.com.", "(bob@mail.example.co.uk.)", "bob@example.com.5 or bob@example.com.-"]
+    got = run(spark, texts)
+    assert [re.sub(r"u[0-9a-f]{16}@example\.org", "U", got[k]["text"]) for k in range(4)] == ["Write to U. Next", "U.", "(U.)", "U.5 or U.-"]
+    assert [got[k]["n_email"] for k in range(4)] == [1, 1, 1, 2]
+
+
+def test_numbers_beside_cards_and_phones(spark):
+    card, spaced, phone = "4614953556326981", "4614 9535 5632 6981", "+1 (643) 555-5742"
+    texts = [card, f"{card} 123", f"{spaced} 12", f"{card} 12/25", f"2 {card}", f"1234 {spaced} 9", f"{card} {card}", f"{card} 643-555-5742", f"7 {card}-1", phone, f"{phone} 20 people", f"20 {phone} 4000", "(643)555-5742", "+33 1 23 45 67 89", "+33 1 23 45 67 89 20"]
+    got = run(spark, texts)
+    new = got[0]["text"]
+    shown = re.sub(r"(.{4})(?=.)", r"\1 ", new)
+    assert luhn_ok(new) and new != card
+    moved = re.search(r"\(643\)|\(\d{3}\)", got[9]["text"])[0] + got[9]["text"][8:]
+    want = [new, f"{new} 123", f"{shown} 12", f"{new} 12/25", f"2 {new}", f"1234 {shown} 9", f"{new} {new}", f"{new} " + moved[1:4] + "-" + moved[6:], f"7 {new}-1", got[9]["text"], f"{got[9]['text']} 20 people", f"20 {got[9]['text']} 4000", moved.replace(" ", ""), got[13]["text"], got[13]["text"] + " 20"]
+    assert [got[k]["text"] for k in range(len(texts))] == want
+    assert got[6]["n_card"] == 2 and got[7]["n_card"] == got[7]["n_phone"] == 1 and got[13]["text"] != texts[13]
