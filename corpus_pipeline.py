@@ -8,8 +8,8 @@ Each stage takes the documents that its predecessor kept and returns documents a
 4. mix repeats and leaves out documents so that sources come near their weights (5, 2, 1 in turn, 150 % of all words).
 5. pack cuts documents into pieces of at most 4096 tokens and packs these into as few sequences as it can.
 
-Nulls, empty tables and repeated rows are treated as the operators say in tessera/llm; an id that comes twice among
-texts with words is one document from stage 2 on.
+Nulls, empty tables and repeated rows are treated as the operators say in tessera/llm; unlike texts with one id are
+documents of their own.
 """
 
 from __future__ import annotations

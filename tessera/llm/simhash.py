@@ -353,15 +353,14 @@ def similar_rows(rows: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near copies (five-word shingles, Jaccard similarity 0.8 or more, and what such links lead to): the least id of each group stays, once.
+    """The rows of docs without near copies (five-word shingles, Jaccard similarity 0.8 or more, and what such links lead to): of each group the row with the least id stays (null: last).
 
-    Texts without a word are no copies of each other: they all stay.
+    Rows are dropped by a number of their own: unlike texts with one id, or with none, all stay. Texts without a word are
+    no copies of each other: they all stay.
     """
     has = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     full = stored(docs.filter(has).withColumn("_row", F.monotonically_increasing_id()), "rows")  # once written, the numbers stay
     similar = stored(similar_rows(full, id_col=id_col, text_col=text_col), "classes")
-    least = similar.groupBy("class").agg(F.min("id").alias("component"))
-    gone = similar.join(least, "class").filter("id <> component").select(F.col("id").alias("_gone")).distinct()
-    kept = full.drop("_row").join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    again = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])  # an id that comes twice names its first row
-    return again.unionByName(kept.filter(F.col(id_col).isNull())).unionByName(docs.filter(~has))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))).alias("first")
+    kept = similar.groupBy("class").agg(first).select(F.col("first.row").alias("_kept"))
+    return full.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row").unionByName(docs.filter(~has))

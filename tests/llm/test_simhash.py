@@ -115,3 +115,9 @@ def test_verified_links_as_by_brute_force():
     for _ in range(60):
         want = np.array([want[near[i]].min() for i in range(60)])
     assert near.sum() > 60 and (simhash.verified_links(sets, np.arange(60), np.arange(60)) == want).all()
+
+
+def test_dedup_drops_rows_not_ids(spark):
+    rows = [(1, "one two three four five six"), (1, "quite another text with the same id"), (2, "one two three four five six"), (None, "a text without any id at all"), (None, "a text without any id at all"), (None, "another text without an id")]
+    got = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([rows[0], rows[1], rows[3], rows[5]])
