@@ -4,7 +4,8 @@ Texts become words of letters and digits in lower case. Of the hashes of all K-w
 W is a fingerprint; a shared run of W + K - 1 words has one in common for certain. The templates' fingerprints are an
 inverted index (hash to template and place). A document's fingerprints that the index holds name templates and
 diagonals; around each diagonal, template and text are aligned in a band of 2 * BAND + 1 diagonals, and the share of
-the template's words that are matched is its coverage. Of overlapping matches the one with more matched words stays.
+the template's words that are matched is its coverage. Of overlapping matches the one with more matched words stays,
+and what it displaces is aligned again beside it, so that notices one after another are all found.
 
 The index is as large as the templates, whatever the documents. Runs with a word that no template has cannot match;
 their hash is the greatest of all.
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 K, W, BAND = 3, 3, 6
 LEAST_COVERAGE = 0.8
+#: Diagonals that are aligned at a time. Templates have up to 8000 words.
+AT_ONCE = 1 << 14
 
 #: Notices of public licenses, short forms and headers.
 TEMPLATES = {
@@ -65,6 +68,7 @@ class Index:
         split = [words(t.encode()) for t in templates.values()]
         self.word = {w: i + 1 for i, w in enumerate(sorted({w for s in split for w in s}))}
         self.texts = [np.array([self.word[w] for w in s], np.int64) for s in split]
+        self.sizes = np.array([len(x) for x in self.texts], np.int64)
         places: list[tuple[int, int, int]] = []
         for t, ids in enumerate(self.texts):
             h = self.hashes(ids)
@@ -86,58 +90,82 @@ class Index:
             out ^= out >> np.uint64(31)
         return np.where(known, out, _NONE)
 
-    def candidates(self, ids: np.ndarray) -> dict[tuple[int, int], None]:
-        """(template, diagonal) of the fingerprints found in the index, diagonals close to each other once."""
+    def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Templates and diagonals, each pair once, of the fingerprints found in the index."""
         h = self.hashes(ids)
         if not len(h) or (h == _NONE).all():
-            return {}
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = winnowed(h)
         low, high = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-        found = sorted({(int(self.template[k]), int(p - self.place[k])) for p, a, b in zip(at, low, high, strict=True) for k in range(a, b)})
-        out: dict[tuple[int, int], None] = {}
-        last: tuple[int, int] | None = None
-        for t, d in found:
-            if last is None or last[0] != t or d - last[1] > BAND:
-                out[(t, d)] = None
-                last = (t, d)
-        return out
-
-    def align(self, t: int, diagonal: int, ids: np.ndarray) -> tuple[int, int, int]:
-        """Most words of the template matched in order within the band; first and last word of the text that are matched."""
-        text, best = self.texts[t], {}
-        for i, w in enumerate(text):  # best: by offset in the band, (matched, first, -last) of paths that end at or before this template word; ties: the shorter span
-            row: dict[int, tuple[int, int, int]] = {}
-            for o in range(-BAND, BAND + 1):
-                j = i + diagonal + o
-                options = [best.get(o + 1, (0, 0, 0)), row.get(o - 1, (0, 0, 0))]  # skip the template's word, or the text's
-                if 0 <= j < len(ids) and ids[j] == w:
-                    n, first, _ = best.get(o, (0, 0, 0))
-                    options.append((n + 1, first if n else j, -j))
-                row[o] = max(options)
+        n = high - low
+        k = np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
+        found = np.unique(np.stack([self.template[k], np.repeat(at, n) - self.place[k]], axis=1), axis=0)
+        return found[:, 0], found[:, 1]
+
+    def align(self, t: int, diagonals: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """(matched words of the template, first and end of the text's words that are matched) for each diagonal.
+
+        The most words in order within the band; of these the path nearest to the diagonal, then the shorter span. All
+        diagonals go through the template together. A path is one number: words, steps off the diagonal, first, last.
+        """
+        text, width = self.texts[t], 2 * BAND + 1
+        one, step, begin = np.int64(1) << 50, np.int64(1) << 36, np.int64(1) << 18
+        low = diagonals - BAND  # places in the text are counted from here
+        start = -step * np.abs(np.arange(-BAND, BAND + 1))[None, :] + np.int64(begin - 1)  # no first yet; last counts down
+        best = np.repeat(start, len(low), axis=0)
+        for i, w in enumerate(text):
+            row = best - step  # neither word is matched
+            row[:, :-1] = np.maximum(row[:, :-1], best[:, 1:] - step)  # the template's word is passed over
+            for o in range(width):
+                if o:
+                    row[:, o] = np.maximum(row[:, o], row[:, o - 1] - step)  # the text's word is
+                j = low + i + o
+                hit = (j >= 0) & (j < len(ids))
+                hit &= ids[np.where(hit, j, 0)] == w
+                old, place = best[hit, o], np.int64(i + o)
+                first = (old >> 18) & (begin - 1)
+                old = old - (old & (begin - 1)) + (begin - 2 - place) + np.where(first == 0, (place + 1) * begin, 0)
+                row[hit, o] = np.maximum(row[hit, o], old + one)
             best = row
-        n, first, last = max(best.values(), default=(0, 0, 0))
-        return n, first, 1 - last
+        top = best.max(1) if len(low) else np.zeros(0, np.int64)
+        n = (top + (one >> 1)) >> 50  # the steps are taken off the words
+        return np.stack([n, low + ((top >> 18) & (begin - 1)) - 1, low + begin - 1 - (top & (begin - 1))], axis=1)
 
     def matches(self, text: bytes, least: float) -> list[tuple[str, int, int, float]]:
-        """(license, start, end, coverage), in code points, by start."""
+        """(license, start, end, coverage), in code points, by start.
+
+        Of overlapping matches the one with more matched words is taken; the candidates left out are aligned once more
+        with what has been taken out of the text, until nothing is found.
+        """
         ids = np.array([self.word.get(w, 0) for w in words(text)], np.int64)
-        found = []
-        for t, d in self.candidates(ids):
-            n, first, last = self.align(t, d, ids)
-            share = n / len(self.texts[t])
-            if share >= least:
-                found.append((-n, -share, t, first, last))
-        if not found:
+        template, diagonal = self.candidates(ids)
+        taken: list[tuple[int, int, int, float]] = []
+        while len(template):
+            found = np.zeros((len(template), 3), np.int64)
+            for t in np.unique(template):
+                every = np.nonzero(template == t)[0]
+                for at in range(0, len(every), AT_ONCE):
+                    found[every[at : at + AT_ONCE]] = self.align(int(t), diagonal[every[at : at + AT_ONCE]], ids)
+            size = self.sizes[template]
+            good = found[:, 0] >= np.maximum(1, np.ceil(least * size - 1e-9))
+            template, diagonal, found, size = template[good], diagonal[good], found[good], size[good]
+            left, before = [], len(taken)
+            for k in np.lexsort((found[:, 2], found[:, 1], template, -found[:, 0] / size, -found[:, 0])):
+                n, first, end = found[k].tolist()
+                if (ids[first:end] < 0).any():
+                    left.append(k)
+                else:
+                    ids[first:end] = -1
+                    taken.append((first, end, int(template[k]), n / int(size[k])))
+            if len(taken) == before:  # spans across what is taken
+                break
+            template, diagonal = template[left], diagonal[left]
+        if not taken:
             return []
-        taken: list[tuple[int, int]] = []
-        spans = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(_KEEP))]
-        point = lambda b: len(text[:b].decode("utf-8", "replace"))
-        out = []
-        for _, share, t, first, last in sorted(found):
-            if all(last <= a or first >= b for a, b in taken):
-                taken.append((first, last))
-                out.append((self.names[t], point(spans[first][0]), point(spans[last - 1][1]), -share))
-        return sorted(out, key=lambda x: (x[1], x[2]))
+        kept = text.translate(_KEEP)
+        spans = np.array([m.span() for m in re.finditer(rb"[^ ]+", kept)], np.int64)
+        points = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])  # code points before each byte
+        return [(self.names[t], int(points[spans[a, 0]]), int(points[spans[b - 1, 1]]), share) for a, b, t, share in sorted(taken)]
 
 
 def winnowed(h: np.ndarray) -> np.ndarray:
