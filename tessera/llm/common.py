@@ -19,12 +19,14 @@ LEAST_BUCKETS, BUCKET_ROWS = 256, 50_000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one is set only where none is."""
+    """The folder that driver and executors share (spark.checkpoint.dir). A temporary one is set only where none is and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
@@ -43,7 +45,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_remove, spark, home)
     path = f"{home}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, as what was made of them is stored itself."""
+    for t in tables:
+        _remove(t.sparkSession, t._stored_at)
 
 
 _homes: set[str] = set()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import forget, stored
 
 #: The rounds grow with the logarithm of the longest path; far more than any input needs.
 MAX_ROUNDS = 64
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.filter("u <> v").select("u", "v").distinct(), "edges")
     mark = None
     for _ in range(MAX_ROUNDS):
-        now = stored(_star(_star(now, True), False), "star")
+        last, now = now, stored(_star(_star(now, True), False), "star")
+        forget(last)
         new = now.agg(F.count(F.lit(1)).alias("n"), F.expr("sum(cast(xxhash64(u, v) as decimal(20, 0)))").alias("h")).first()
         if mark == (new["n"], new["h"]):
             break

@@ -16,7 +16,7 @@ id never trains and is not held out. Empty tables give an empty result; repeated
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_CHARS, ALL_CHARS, WINDOW = 48_000, 1_200_000, 512
+SAMPLE_CHARS, ALL_CHARS, WINDOW = 48_000, 250_000, 512
 #: Languages are a fixed vocabulary; more are refused.
 MAX_LANGUAGES = 500
-SEGMENT, BLOCK = 512, 1 << 22
+SEGMENT, BLOCK = 512, 1 << 20
 LETTERS = 250
+#: Texts that are read at a time.
+AT_ONCE = 1024
 UNKNOWN = "und"
 
 
@@ -146,12 +148,12 @@ class Model:
         return names, scores
 
 
-_models: dict[int, Model] = {}
+_models: dict[bytes, Model] = {}
 
 
 def model_of(samples: dict[str, list[str]]) -> Model:
     """Built once in each worker."""
-    key = zlib.crc32(repr(samples).encode("utf-8", "surrogatepass"))
+    key = hashlib.sha256(repr(samples).encode("utf-8", "surrogatepass")).digest()
     if key not in _models:
         _models.clear()
         _models[key] = Model(samples)
@@ -180,14 +182,17 @@ def sample(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang
 
 
 def identify(docs: DataFrame, samples: dict[str, list[str]], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and lang_score; all columns pass through."""
+    """docs with lang_pred and lang_score; all columns pass through, but for ones of these two names, which are replaced."""
+    docs = docs.drop(*{"lang_pred", "lang_score"} - {text_col})
     at = docs.columns.index(text_col)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(samples)
-        for b in batches:
-            names, scores = model.judge(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores)], [*b.schema.names, "lang_pred", "lang_score"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(k, AT_ONCE)
+                names, scores = model.judge(b.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores)], [*b.schema.names, "lang_pred", "lang_score"])
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 

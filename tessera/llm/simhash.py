@@ -4,10 +4,11 @@ A document's fingerprint has a bit for each hash bit that is set in over half it
 dealt to bands (sets of bit positions); those with equal bits in a band meet. There the bit planes are stored
 vertically, 64 fingerprints to a machine word, and each fingerprint is compared to whole words at once: planes that
 differ are summed in carry-save bitwise counters, and a word is abandoned once all its lanes exceed the radius.
-Each run of a band gives a forest of its links, never all pairs; components come from the forests.
+Each run of equal keys gives a forest of its links, never all pairs; components come from the forests.
 
 `exact_bands` loses no pair: the bits are cut into radius + 3 blocks, and two fingerprints that differ in `radius`
-bits agree in three blocks at least. `sampled_bands` serve radii for which that is out of reach.
+bits agree in three blocks at least. For radii for which that is out of reach (`deduplicated`), documents meet by bands
+of least hashes of their shingles instead, and links are verified on the shingles.
 
 Nulls: a null or wordless text has fingerprint zero and is linked like any other; a null id takes part, but never
 names a component unless all ids of it are null (then null). Empty tables give an empty result; repeated rows share
@@ -24,16 +25,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from tessera.llm.common import stored
+from tessera.llm.common import forget, stored
 from tessera.llm.graph import components
 
 SEED = 42
 #: Pairs of a fingerprint and a word of 64 others that are compared at a time, and planes between two looks for dead words.
 PAIRS, STEP = 1 << 15, 8
-#: Shingles whose bits are counted at a time.
-SHINGLES = 4096
+#: Shingles whose bits are counted, and texts that are read, at a time.
+SHINGLES, AT_ONCE = 4096, 1024
+#: Fingerprints of one key above which they are cut into tiles.
+TILE = 1 << 14
 
 
 def exact_bands(bits: int, radius: int) -> list[list[int]]:
@@ -42,11 +45,6 @@ def exact_bands(bits: int, radius: int) -> list[list[int]]:
     return [a + b + c for a, b, c in combinations(blocks, 3)]
 
 
-def sampled_bands(bits: int, bands: int, width: int, seed: int = 7) -> list[list[int]]:
-    rng = np.random.default_rng(seed)
-    return [sorted(map(int, rng.choice(bits, width, replace=False))) for _ in range(bands)]
-
-
 def shingle_hashes(text: bytes | None, shingle: int) -> list[int]:
     """XXH64 of each run of `shingle` words, lower-cased in A-Z; fewer words: of all of them; none: nothing."""
     words = (text or b"").lower().split()
@@ -110,13 +108,13 @@ def _exceeds(c: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
     return gt
 
 
-def _near(planes: np.ndarray, own: np.ndarray, query: np.ndarray, word: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, word, lanes within the radius) for pairs of a query and a word. own: all-ones where the query's bit is set, by plane."""
+def _near(planes: np.ndarray, bits: np.ndarray, query: np.ndarray, word: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, word, lanes within the radius) for pairs of a query (a row of bits) and a word of 64 rows (by plane)."""
     depth = max(3, int(radius).bit_length())
-    zero = np.zeros(len(query), np.uint64)
-    c, over = [zero.copy() for _ in range(depth)], zero.copy()
+    none = np.zeros(len(query), np.uint64)
+    c, over = [none.copy() for _ in range(depth)], none.copy()
     for p in range(0, planes.shape[1], STEP):
-        x = [planes[word, p + k] ^ own[query, p + k] for k in range(STEP)]
+        x = [planes[word, p + k] ^ (np.uint64(0) - bits[query, p + k].astype(np.uint64)) for k in range(STEP)]
         twos, fours = [], []
         for k in range(0, STEP, 2):
             c[0], t = _csa(c[0], x[k], x[k + 1])
@@ -157,92 +155,120 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _root(parent)
 
 
-def run_forest(fps: np.ndarray, keys: np.ndarray, radius: int) -> np.ndarray:
-    """For rows sorted by key (fps: bytes as rows), the least row to which links within equal keys lead."""
-    n = len(keys)
-    end = np.searchsorted(keys, keys, side="right")
+def run_forest(fps: np.ndarray, begin: np.ndarray, end: np.ndarray, radius: int) -> np.ndarray:
+    """The least row to which links lead; row i (fps: bytes) is compared to the rows begin[i] to end[i] - 1, all after it.
+
+    A word of 64 rows that are all of the row's class already is passed over: a group of copies costs one comparison each.
+    """
+    n = len(fps)
     bits = np.unpackbits(fps, axis=1)
-    own = np.where(bits.astype(bool), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
     padded = np.concatenate([bits, np.zeros((-n % 64, bits.shape[1]), np.uint8)])
     planes = np.ascontiguousarray(np.packbits(padded.reshape(-1, 64, bits.shape[1]), axis=1, bitorder="little").transpose(0, 2, 1)).view("<u8")[:, :, 0]
-    rows = np.arange(n)
-    first, last = (rows + 1) >> 6, (end - 1) >> 6
-    words = np.where(end > rows + 1, last - first + 1, 0)
+    first, last = begin >> 6, (end - 1) >> 6
+    words = np.where(end > begin, last - first + 1, 0)
     ends, parent, ones = np.cumsum(words), np.arange(n), np.uint64(0xFFFFFFFFFFFFFFFF)
+    held = np.arange(-n % 64 + n)
+    lowest, highest = held.reshape(-1, 64).min(1), held.reshape(-1, 64).max(1)
     for at in range(0, int(ends[-1]) if n else 0, PAIRS):
         flat = np.arange(at, min(at + PAIRS, int(ends[-1])))
         query = np.searchsorted(ends, flat, side="right")
         word = first[query] + flat - (ends[query] - words[query])
-        low, high = np.maximum(query + 1 - 64 * word, 0), np.minimum(end[query] - 64 * word, 64)
+        new = (lowest[word] != parent[query]) | (highest[word] != parent[query])
+        query, word = query[new], word[new]
+        low, high = np.maximum(begin[query] - 64 * word, 0), np.minimum(end[query] - 64 * word, 64)
         lanes = (ones << low.astype(np.uint64)) & (ones >> (64 - high).astype(np.uint64))
-        query, word, lanes = _near(planes, own, query, word, lanes, radius)
+        query, word, lanes = _near(planes, bits, query, word, lanes, radius)
         hit = lanes != 0
         if hit.any():
             found = np.unpackbits(lanes[hit].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             k, lane = np.nonzero(found)
             parent = _unite(parent, query[hit][k], 64 * word[hit][k] + lane)
+            held[:n] = parent
+            lowest, highest = held.reshape(-1, 64).min(1), held.reshape(-1, 64).max(1)
     return parent
 
 
-def links(unique: DataFrame, bands: list[list[int]], radius: int) -> DataFrame:
-    """A forest (u, v) of the links among distinct fingerprints (column fp) that share a band."""
+def banded(unique: DataFrame, bands: list[list[int]]) -> DataFrame:
+    """(key, c): a key for each band of each fingerprint (columns c, its number, and fp)."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = b.column(0).to_pylist()
+            fps = b.column(1).to_pylist()
             if not fps:
                 continue
             bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1)
             for k, band in enumerate(bands):
                 key = bits[:, band].astype(np.int64) @ (1 << np.arange(len(band), dtype=np.int64)) + (k << 48)
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0)], ["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0)], ["key", "c"])
+
+    return unique.select("c", "fp").mapInArrow(dealt, "key long, c long")
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def forest(keys: np.ndarray, fps: list[bytes]) -> pa.RecordBatch | None:
-            again = np.zeros(len(keys), bool)
-            again[1:] = keys[1:] == keys[:-1]
-            again[:-1] |= again[1:]
-            at = np.nonzero(again)[0]
-            if not len(at):
-                return None
-            kept = [fps[i] for i in at]
-            root = run_forest(np.frombuffer(b"".join(kept), np.uint8).reshape(len(kept), -1), keys[at], radius)
-            up = np.nonzero(root != np.arange(len(root)))[0]
-            return pa.RecordBatch.from_arrays([pa.array([kept[i] for i in up], pa.binary()), pa.array([kept[root[i]] for i in up], pa.binary())], ["u", "v"]) if len(up) else None
 
-        keys, fps = np.zeros(0, np.int64), []
+def links(keyed: DataFrame, unique: DataFrame, radius: int) -> DataFrame:
+    """A forest (u, v) of the links among the numbers (c) that share a key; unique has the fingerprint (fp) of each number.
+
+    Keys that only one number has are dropped before fingerprints travel. A key with more than TILE numbers is cut into
+    tiles, and pairs of tiles are dealt to tasks.
+    """
+    shared = keyed.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"), F.min("c").alias("a"), F.max("c").alias("z")).filter("a <> z")
+    met = keyed.join(shared.select("k", "tiles"), F.col("key") == F.col("k")).select("key", "c", "tiles")
+    met = met.join(unique.select(F.col("c").alias("u"), "fp"), F.col("c") == F.col("u"))
+    met = met.withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = met.select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "c", "fp")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def forest(rows: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
+            """rows: key, low, high, tile, c."""
+            run = np.zeros(len(rows), np.int64)
+            run[1:] = np.cumsum((rows[1:, :3] != rows[:-1, :3]).any(1))
+            end, place = np.searchsorted(run, run, side="right"), np.arange(len(run))
+            half = 2 * run + (rows[:, 3] != rows[:, 1])  # of two tiles, each row of the first meets all of the second
+            begin = np.where(rows[:, 1] == rows[:, 2], place + 1, np.where(half % 2 == 0, np.searchsorted(half, 2 * run + 1), end))
+            root = run_forest(fps, begin, end, radius)
+            up = np.nonzero(root != place)[0]
+            return pa.RecordBatch.from_arrays([pa.array(rows[up, 4]), pa.array(rows[root[up], 4])], ["u", "v"]) if len(up) else None
+
+        rows, fps = None, None
         for b in batches:
-            keys, fps = np.concatenate([keys, b.column(0).to_numpy(zero_copy_only=False)]), fps + b.column(1).to_pylist()
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last run may go on
-            if (out := forest(keys[:cut], fps[:cut])) is not None:
-                yield out
-            keys, fps = keys[cut:], fps[cut:]
-        if (out := forest(keys, fps)) is not None:
+            if not b.num_rows:
+                continue
+            now = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)], axis=1)
+            own = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(len(now), -1)
+            rows, fps = (now, own) if rows is None else (np.concatenate([rows, now]), np.concatenate([fps, own]))
+            cut = len(rows) - int(np.argmax((rows[::-1, :3] != rows[-1, :3]).any(1))) if (rows[:, :3] != rows[-1, :3]).any() else 0  # the last run may go on
+            if cut:
+                if (out := forest(rows[:cut], fps[:cut])) is not None:
+                    yield out
+                rows, fps = rows[cut:], fps[cut:]
+        if rows is not None and (out := forest(rows, fps)) is not None:
             yield out
 
-    keyed = unique.select("fp").mapInArrow(dealt, StructType([StructField("key", LongType()), StructField("fp", BinaryType())]))
-    met = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return met.mapInArrow(compared, StructType([StructField("u", BinaryType()), StructField("v", BinaryType())]))
+    dealt = tiled.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "tile", "c")
+    return dealt.mapInArrow(compared, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, bits: int = 64, radius: int = 2, bands: list[list[int]] | None = None, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component) of each row: component is the least id reached by links of `radius` bits or fewer."""
     known = stored(fingerprints(docs, shingle=shingle, bits=bits, distinct=distinct, id_col=id_col, text_col=text_col), "simhash")
-    unique = known.groupBy("fp").agg(F.min("id").alias("least"))
-    found = components(links(unique, bands or exact_bands(bits, radius), radius))
-    joined = unique.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    joined = stored(joined.select("fp", "least", "root"), "classes")
+    unique = known.groupBy("fp").agg(F.min("id").alias("least")).withColumn("c", F.monotonically_increasing_id())
+    unique = stored(unique, "fingerprints")  # once written, the numbers stay
+    found = components(links(banded(unique, bands or exact_bands(bits, radius)), unique, radius))
+    joined = unique.join(found, F.col("c") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "c").alias("root"))
+    joined = stored(joined, "classes")
+    forget(unique)
     least = joined.groupBy("root").agg(F.min("least").alias("component"))
     by_fp = joined.join(least, "root").select(F.col("fp").alias("k"), "component")
     return known.join(by_fp, F.col("fp") == F.col("k")).select("id", "fp", "component")
 
 
 #: At a similarity of 0.8 the set cosine 2s / (1 + s) is 0.889, the angle 27.3 degrees, and 78 of 512 bits differ, give or take 8; small sets differ in up to 96. Candidates only: wide.
-WIDE_BITS, WIDE_RADIUS, WIDE_BANDS, WIDE_WIDTH = 512, 112, 32, 16
-#: Least hashes that cover the collisions that the bands of bits miss: at 0.8 all of COVER bands miss with a probability of (1 - 0.8 ** 5) ** 28 = 1.5e-5.
-COVER, COVER_WIDTH = 28, 5
+WIDE_BITS, WIDE_RADIUS = 512, 112
+#: Bands of least hashes, by which candidates meet: at 0.8 all miss with a probability of (1 - 0.8 ** 4) ** 16 = 2e-4, at 0.82 of 6e-5.
+COVER, COVER_WIDTH = 16, 4
 #: Shingles of a group of candidates from which it is cut into tiles.
-TILE_SHINGLES = 1 << 17
+TILE_SHINGLES = 1 << 18
+#: Rows of candidates that are sent to every executor (about 60 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 300_000
 _FACTORS = np.random.default_rng(13).integers(0, 1 << 63, (COVER * COVER_WIDTH, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -285,44 +311,48 @@ def verified_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     return parent
 
 
-def _cover_links(sets: DataFrame) -> DataFrame:
-    """(u, v): each set that shares a key of least hashes, with the first that has it."""
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), COVER))], ["key", "c"])
+def _few(df: DataFrame) -> DataFrame:
+    """A stored table, sent to every executor if it is small."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
-    keyed = sets.select("c", "cover").mapInArrow(dealt, "key long, c long")
-    least = keyed.groupBy("key").agg(F.min("c").alias("v"), F.max("c").alias("most")).filter("v <> most").select(F.col("key").alias("k"), "v")
-    return keyed.join(least, F.col("key") == F.col("k")).filter("c <> v").select(F.col("c").alias("u"), "v").distinct()
 
+def similar_sets(rows: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """(class, best) of each distinct set of five-word shingles of rows (`_row`: a stored number): classes by links of a Jaccard similarity of 0.8 or more; best: none, id, row of the set's row with the least id (null: last).
 
-def similar_rows(rows: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, class) of each row of rows (`_row`: a stored number): classes by links of five-word shingle sets at a Jaccard similarity of 0.8 or more.
-
-    Candidates share a band of fingerprint bits within WIDE_RADIUS, or a band of least hashes; whatever candidates lead to
-    is one group, and all pairs of a group are verified on their sets, which travel once (a large group's: once a tile).
+    Candidates share a band of least hashes and have fingerprints within WIDE_RADIUS, compared bit-sliced; whatever they
+    lead to is one group, and all pairs of a group are verified on their sets, which travel once (a large group's: once a
+    tile).
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [shingle_set(t.as_py()) for t in b.column(2)]
-            fps = [fingerprint(h, WIDE_BITS) for h in got]
-            made = [pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in got], pa.binary()), pa.array(fps, pa.binary()), pa.array([cover_keys(h).tobytes() for h in got], pa.binary()), pa.array([len(h) for h in got], pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["row", "id", "set", "fp", "cover", "n"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):  # few sets at a time
+                b = whole.slice(at, AT_ONCE)
+                got = [shingle_set(t.as_py()) for t in b.column(2)]
+                made = [
+                    pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in got], pa.binary()),
+                    pa.array([fingerprint(h, WIDE_BITS) for h in got], pa.binary()),
+                    pa.array([cover_keys(h) for h in got], pa.list_(pa.int64())),
+                    pa.array([len(h) for h in got], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["row", "id", "set", "fp", "cover", "n"])
 
     base = rows.select(F.col("_row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    out = StructType([base.schema["row"], base.schema["id"], *[StructField(k, BinaryType()) for k in ("set", "fp", "cover")], StructField("n", LongType())])
+    out = StructType([base.schema["row"], base.schema["id"], StructField("set", BinaryType()), StructField("fp", BinaryType()), StructField("cover", ArrayType(LongType())), StructField("n", LongType())])
     known = stored(base.mapInArrow(read, out), "simhash")
-    sets = known.groupBy("set").agg(F.min("row").alias("first"), F.min("fp").alias("fp"), F.min("cover").alias("cover"), F.min("n").alias("n"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))).alias("best")
+    sets = known.groupBy("set").agg(best, F.min("fp").alias("fp"), F.min("cover").alias("cover"), F.min("n").alias("n"))
     sets = stored(sets.withColumn("c", F.xxhash64("fp")), "sets")  # equal numbers only make candidates
-    bits = links(sets.select("fp").distinct(), sampled_bands(WIDE_BITS, WIDE_BANDS, WIDE_WIDTH), WIDE_RADIUS)
-    groups = components(bits.select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v")).union(_cover_links(sets)))
-    members = stored(sets.join(groups, F.col("c") == F.col("node"), "left").select("set", "first", "n", F.coalesce("root", "c").alias("group")), "candidates")
+    forget(known)
+    keyed = sets.select(F.explode("cover").alias("key"), "c")
+    groups = components(links(keyed, sets.groupBy("c").agg(F.min("fp").alias("fp")), WIDE_RADIUS))
+    members = sets.join(groups, F.col("c") == F.col("node"), "left").select("set", F.col("best.row").alias("first"), "n", F.coalesce("root", "c").alias("group"))
+    members = stored(members, "candidates")
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("k"), F.ceil(F.sum("n") / TILE_SHINGLES).cast("int").alias("tiles")).filter("k > 1").select(F.col("group").alias("g"), "tiles")
-    members = members.join(sizes, F.col("group") == F.col("g")).withColumn("tile", F.pmod(F.xxhash64("set"), F.col("tiles")).cast("int"))
-    texts = members.join(base, F.col("first") == F.col("row")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiles = members.join(sizes, F.col("group") == F.col("g")).withColumn("tile", F.pmod(F.xxhash64("set"), F.col("tiles")).cast("int"))
+    tiles = stored(tiles.select("set", "first", "group", "tile", "tiles"), "tiles")
+    forget(members)
+    texts = base.select("row", "text").join(_few(tiles), F.col("first") == F.col("row")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = texts.select("group", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "set", "text")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +379,7 @@ def similar_rows(rows: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
 
     dealt = tiled.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
     found = components(dealt.mapInArrow(verified, "u binary, v binary"))
-    return known.join(found, F.col("set") == F.col("node"), "left").select("row", "id", F.coalesce("root", "set").alias("class"))
+    return sets.join(found, F.col("set") == F.col("node"), "left").select(F.coalesce("root", "set").alias("class"), "best")
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,7 +390,6 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     has = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     full = stored(docs.filter(has).withColumn("_row", F.monotonically_increasing_id()), "rows")  # once written, the numbers stay
-    similar = stored(similar_rows(full, id_col=id_col, text_col=text_col), "classes")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))).alias("first")
-    kept = similar.groupBy("class").agg(first).select(F.col("first.row").alias("_kept"))
-    return full.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row").unionByName(docs.filter(~has))
+    similar = similar_sets(full, id_col=id_col, text_col=text_col)
+    kept = similar.groupBy("class").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_kept"))
+    return full.join(_few(stored(kept, "kept")), F.col("_row") == F.col("_kept"), "left_semi").drop("_row").unionByName(docs.filter(~has))

@@ -57,7 +57,10 @@ def test_words_of_no_language(spark):
         has = any(c.isalpha() for c in r["text"] or "")
         assert (r["lang_pred"] == "und") == (not has) and 0 <= r["lang_score"] <= 1
     assert language.trained(frame(spark, [])) == {}
-    assert [r["lang_pred"] for r in language.identify(frame(spark, documents()[:5]), {}).collect()] == ["und"] * 5
+    clash = frame(spark, documents()[:5]).withColumnRenamed("key", "lang_pred").withColumnRenamed("fp", "lang_score")
+    got = language.identify(clash, {})
+    assert got.columns == [*[c for c in clash.columns if not c.startswith("lang_")], "lang_pred", "lang_score"]
+    assert [(r["lang_pred"], r["lang_score"]) for r in got.collect()] == [("und", 0.0)] * 5
 
 
 def test_held_out_accuracy(spark):

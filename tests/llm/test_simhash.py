@@ -46,22 +46,54 @@ def test_table_as_by_brute_force(spark):
     check(rows, [tuple(r) for r in queries.op8_simhash(spark, "/root/testdata/sf0.001").collect()])
 
 
+def least_reached(near):
+    want = np.arange(len(near))
+    while True:
+        new = np.array([want[row].min() for row in near])
+        if (new == want).all():
+            return want
+        want = new
+
+
 def test_bit_sliced_runs_as_by_brute_force():
     rng = np.random.default_rng(1)
     for radius, bits in ((2, 64), (5, 64), (78, 512)):
         centre = rng.integers(0, 2, (6, bits))
         rows = (centre[rng.integers(0, 6, 300)] ^ (rng.random((300, bits)) < radius / bits / 2.2)).astype(np.uint8)
-        keys = np.sort(rng.integers(0, 4, 300))
-        root = simhash.run_forest(np.packbits(rows, axis=1), keys, radius)
         near = (rows[:, None, :] != rows[None]).sum(2) <= radius
-        near &= keys[:, None] == keys[None]
-        want = np.arange(300)
-        for _ in range(300):
-            new = np.array([want[near[i]].min() for i in range(300)])
-            if (new == want).all():
-                break
-            want = new
-        assert (root == want).all()
+        keys, place = np.sort(rng.integers(0, 4, 300)), np.arange(300)
+        root = simhash.run_forest(np.packbits(rows, axis=1), place + 1, np.searchsorted(keys, keys, side="right"), radius)
+        assert (root == least_reached(near & (keys[:, None] == keys[None]))).all()
+        cross = place < 140  # two tiles
+        root = simhash.run_forest(np.packbits(rows, axis=1), np.where(cross, 140, 300), np.full(300, 300), radius)
+        assert (root == least_reached(near & (cross[:, None] != cross[None]) | np.eye(300, dtype=bool))).all()
+
+
+def test_a_hot_band_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    fps = np.unique(rng.integers(0, 1 << 13, 900))  # 51 bits in common: every band of the upper blocks is hot
+    want = least_reached(np.array([[bin(int(a ^ b)).count("1") <= 2 for b in fps] for a in fps]))
+    unique = spark.createDataFrame([(int(i), int(x).to_bytes(8, "big")) for i, x in enumerate(fps)], "c long, fp binary").repartition(3)
+    for tile in (simhash.TILE, 100):
+        monkeypatch.setattr(simhash, "TILE", tile)
+        found = graph.components(simhash.links(simhash.banded(unique, simhash.exact_bands(64, 2)), unique, 2))
+        root = {r["node"]: r["root"] for r in found.collect()}
+        assert [root.get(i, i) for i in range(len(fps))] == want.tolist()
+
+
+def test_fifty_thousand_fingerprints_of_one_key(spark):
+    rng = np.random.default_rng(9)
+    fps = np.unique(rng.integers(0, 1 << 26, 50_000))
+    unique = spark.createDataFrame([(int(i), int(x).to_bytes(8, "big")) for i, x in enumerate(fps)], "c long, fp binary").repartition(4)
+    one = unique.selectExpr("1L AS key", "c")
+    near = simhash.links(one, unique, 1).collect()
+    value = {int(x): i for i, x in enumerate(fps)}
+    pairs = {(value[int(x)], value[int(x) ^ 1 << k]) for x in fps for k in range(26) if int(x) ^ 1 << k in value}
+    union = list(range(len(fps)))
+    find = lambda i: i if union[i] == i else find(union[i])
+    for r in near:
+        union[find(r["u"])] = find(r["v"])
+    assert pairs and all(find(a) == find(b) for a, b in pairs) and all(bin(int(fps[r["u"]] ^ fps[r["v"]])).count("1") >= 1 for r in near)
 
 
 def test_exact_bands_lose_no_pair():
@@ -117,6 +149,18 @@ def test_verified_links_as_by_brute_force():
     assert near.sum() > 60 and (simhash.verified_links(sets, np.arange(60), np.arange(60)) == want).all()
 
 
+def test_recall_just_above_the_threshold(spark):
+    rng, rows = random.Random(12), []
+    say = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    for g in range(1500):
+        n = rng.choice([24, 54, 104, 304])  # words
+        w = say(n)
+        lost = next(x for x in range(n, 0, -1) if (n - 4 - x) / (n - 4 + x) >= 0.8)  # Jaccard from 0.80 to 0.85
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w[: n - lost] + say(lost)))]
+    got = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert 1500 <= got <= 1500 + 7  # 0.995 of the pairs are found
+
+
 def test_dedup_drops_rows_not_ids(spark):
     rows = [(1, "one two three four five six"), (1, "quite another text with the same id"), (2, "one two three four five six"), (None, "a text without any id at all"), (None, "a text without any id at all"), (None, "another text without an id")]
     got = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
