@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Least number of buckets a key is split into, and rows a bucket may hold.
 LEAST_BUCKETS, BUCKET_ROWS = 256, 50_000
+#: Rows of up to about 60 bytes that are sent to every executor.
+MOST_BROADCAST = 300_000
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -65,6 +67,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A stored table, sent to every executor if it has up to MOST_BROADCAST rows; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def buckets_for(n_rows: int) -> int:
     return max(LEAST_BUCKETS, -(-n_rows // BUCKET_ROWS))
 

@@ -7,8 +7,8 @@ Rules without mandatory trigrams scan every document.
 
 Everything on the data is DataFrame operations. Spans are counted in code points, ends exclusive.
 
-Nulls: a null text is empty; a null id takes part as an id of its own. Empty tables give an empty result; repeated
-rows, and rows that share an id, are each scanned. Columns of the input are kept; the names _secret_* are taken.
+Nulls: a null text is empty; ids are not read. Empty tables give an empty result; repeated rows are each scanned.
+Columns of the input are kept, but for one of the output's name, which is replaced; the names _secret_* are taken.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import few, forget, stored
 
 #: Strings of an exact part, and ANDs of a query, that are followed; beyond, a query gets weaker, never wrong.
 MOST_STRINGS, MOST_ANDS = 64, 64
-#: Candidates that are sent to every executor (about 30 bytes each); more are joined by a shuffle.
-MOST_BROADCAST = 300_000
+#: Matches that are added up at a time, and code points of a chunk of text.
+BLOCK, CHUNK = 64, 1024
 
 Query = frozenset[frozenset[str]]
 ANY: Query = frozenset([frozenset()])
@@ -122,9 +122,9 @@ def trigram_query(pattern: str) -> Query:
     return frozenset(a for a in query if not any(b < a for b in query))  # an AND that asks for more than another adds nothing
 
 
-def build_index(docs: DataFrame, trigrams: list[str], id_col: str, text_col: str) -> DataFrame:
-    """Postings (trigram, id), written to the shared folder. Trigrams that no rule asks for are left out."""
-    low = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("low"))
+def build_index(docs: DataFrame, trigrams: list[str], text_col: str) -> DataFrame:
+    """Postings (trigram, id), written to the shared folder; an id is a hash of the text, equal ones only make candidates. Trigrams that no rule asks for are left out."""
+    low = docs.select(F.xxhash64(text_col).alias("id"), F.lower(F.col(text_col)).alias("low"))
     held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]))
     return stored(low.select("id", F.explode(held).alias("trigram")), "trigrams")
 
@@ -140,38 +140,53 @@ def candidates(index: DataFrame, queries: list[Query]) -> DataFrame:
     return met.filter("has = need").groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, add, zero: Column) -> Column:
+    """The values added up to each one, in time linear in their number: within blocks, and over the blocks before."""
+
+    def of(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda i: F.slice(v, i * BLOCK + 1, F.lit(BLOCK)))
+
+        def joined(bs: Column) -> Column:
+            inside = lambda b, before: F.transform(F.sequence(F.lit(1), F.size(b)), lambda j: F.aggregate(F.slice(b, F.lit(1), j), before, add))
+            rows = lambda sums: F.flatten(F.transform(bs, lambda b, i: _let(F.aggregate(F.slice(sums, F.lit(1), i), zero, add), lambda before: inside(b, before))))
+            return _let(F.transform(bs, lambda b: F.aggregate(b, zero, add)), rows)
+
+        return F.when(F.size(v) > 0, _let(blocks, joined)).otherwise(F.slice(v, F.lit(1), F.lit(0)))
+
+    return _let(values, of)
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Start, order and end of each match that counts. The text is cut at the matches: gaps and matches alternate."""
     pattern = F.lit(rule.pattern)
-    pairs = F.arrays_zip(
-        F.transform(F.split(text, rule.pattern, -1), F.char_length).alias("gap"),
-        F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.char_length).alias("all"),
-        F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.char_length).alias("part"),
-    )
-    none = F.expr("cast(array() as array<struct<start: int, ord: int, end: int>>)")
-    span = lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(order).alias("ord"), (at + x["gap"] + x["all"]).alias("end"))
-    return F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + F.coalesce(x["all"], F.lit(0))).alias("at"),
-            F.when(x["part"] >= rule.least, F.array_append(s["out"], span(s["at"], x))).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-
-
-def scan(docs: DataFrame, rules: list[Rule] = RULES, *, id_col: str = "doc_id", text_col: str = "text", out: str = "spans") -> DataFrame:
-    """docs with column `out`: array of (start, ord, end) by start, then rule (ord, its place in rules)."""
+    lengths = lambda group: F.transform(F.regexp_extract_all(text, pattern, F.lit(group)), F.char_length)
+    pairs = F.arrays_zip(F.transform(F.split(text, rule.pattern, -1), F.char_length).alias("gap"), lengths(0).alias("all"), lengths(rule.group).alias("part"))
+
+    def made(pairs: Column) -> Column:
+        ends = running(F.transform(pairs, lambda x: x["gap"] + F.coalesce(x["all"], F.lit(0))), lambda a, b: a + b, F.lit(0))
+        every = F.zip_with(pairs, ends, lambda x, end: F.struct((end - x["all"]).alias("start"), F.lit(order).alias("ord"), end.alias("end"), x["part"].alias("part")))
+        return F.transform(F.filter(every, lambda x: x["part"] >= rule.least), lambda x: F.struct(x["start"], x["ord"], x["end"]))
+
+    return _let(pairs, made)
+
+
+def scan(docs: DataFrame, rules: list[Rule] = RULES, *, text_col: str = "text", out: str = "spans") -> DataFrame:
+    """docs with column `out` (one of that name is replaced): array of (start, ord, end) by start, then rule (ord, its place in rules)."""
     queries = [trigram_query(r.pattern) for r in rules]
     sought = sorted({t for q in queries if q != ANY for a in q for t in a})
     open_ = sum(1 << i for i, q in enumerate(queries) if q == ANY)
     none = F.expr("cast(array() as array<struct<start: int, ord: int, end: int>>)")
     met = docs
     if sought:
-        index = build_index(docs, sought, id_col, text_col)
+        index = build_index(docs, sought, text_col)
         found = stored(candidates(index, [frozenset() if q == ANY else q for q in queries]).select(F.col("id").alias("_secret_id"), F.col("rules").alias("_secret_rules")), "candidates")
-        met = docs.join(F.broadcast(found) if found.count() <= MOST_BROADCAST else found, F.col(id_col).eqNullSafe(F.col("_secret_id")), "left")
+        forget(index)
+        met = docs.join(few(found), F.xxhash64(text_col) == F.col("_secret_id"), "left")
         mask = F.coalesce("_secret_rules", F.lit(0)).bitwiseOR(F.lit(open_))
     else:
         mask = F.lit(open_)
@@ -184,13 +199,27 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, *, id_col: str = "doc_id",
     return met.withColumn(out, F.array_sort(F.concat(*each))).drop("_secret_mask", "_secret_id", "_secret_rules")
 
 
-def redacted(docs: DataFrame, rules: list[Rule] = RULES, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with each span (overlapping ones together) replaced by a mark; rows without one stay as they are."""
-    met = scan(docs, rules, id_col=id_col, text_col=text_col, out="_secret_spans")
+def redacted(docs: DataFrame, rules: list[Rule] = RULES, *, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """docs with each span (overlapping ones together) replaced by a mark; rows without one stay as they are.
+
+    The text is cut once into chunks, from which the parts between the spans are taken and joined.
+    """
+    met = scan(docs, rules, text_col=text_col, out="_secret_spans")
     text = F.col(text_col)
-    step = lambda s, x: (
-        F.when(x["start"] >= s["at"], F.struct(F.concat(s["text"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark)).alias("text"), x["end"].alias("at")))
-        .otherwise(F.struct(s["text"].alias("text"), F.greatest(s["at"], x["end"]).alias("at")))
-    )
-    cut = F.aggregate("_secret_spans", F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), step, lambda s: F.concat(s["text"], F.substring(text, s["at"] + 1, F.char_length(text))))
-    return met.withColumn(text_col, F.when(F.size("_secret_spans") > 0, cut).otherwise(text)).drop("_secret_spans")
+
+    def between(chunks: Column, a: Column, b: Column) -> Column:
+        part = lambda c: F.substring(F.element_at(chunks, c + 1), F.greatest(a - c * CHUNK, F.lit(0)) + 1, F.least(b, (c + 1) * CHUNK) - F.greatest(a, c * CHUNK))
+        of = lambda x: F.floor(x / CHUNK).cast("int")
+        return F.when(a < b, F.array_join(F.transform(F.sequence(of(a), of(b - 1)), part), "")).otherwise("")
+
+    def marked(spans: Column) -> Column:
+        """spans: start, and the greatest end so far."""
+        before = F.transform(spans, lambda x, i: F.struct(F.when(i == 0, 0).otherwise(F.element_at(spans, i)["end"]).alias("end"), x["start"].alias("start")))
+        gaps = F.filter(before, lambda x: x["start"] >= x["end"])
+        last = F.element_at(spans, -1)["end"]
+        joined = lambda chunks: F.array_join(F.concat(F.transform(gaps, lambda x: between(chunks, x["end"], x["start"])), F.array(between(chunks, last, F.char_length(text)))), mark)
+        return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), joined)
+
+    ends = running(F.transform("_secret_spans", lambda x: x["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
+    reach = F.zip_with("_secret_spans", ends, lambda x, end: F.struct(x["start"].alias("start"), end.alias("end")))
+    return met.withColumn(text_col, F.when(F.size("_secret_spans") > 0, _let(reach, marked)).otherwise(text)).drop("_secret_spans")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from tessera.llm.common import forget, stored
+from tessera.llm.common import few, forget, stored
 from tessera.llm.graph import components
 
 SEED = 42
@@ -267,8 +267,6 @@ WIDE_BITS, WIDE_RADIUS = 512, 112
 COVER, COVER_WIDTH = 16, 4
 #: Shingles of a group of candidates from which it is cut into tiles.
 TILE_SHINGLES = 1 << 18
-#: Rows of candidates that are sent to every executor (about 60 bytes each); more are joined by a shuffle.
-MOST_BROADCAST = 300_000
 _FACTORS = np.random.default_rng(13).integers(0, 1 << 63, (COVER * COVER_WIDTH, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -311,11 +309,6 @@ def verified_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     return parent
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """A stored table, sent to every executor if it is small."""
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
-
-
 def similar_sets(rows: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """(class, best) of each distinct set of five-word shingles of rows (`_row`: a stored number): classes by links of a Jaccard similarity of 0.8 or more; best: none, id, row of the set's row with the least id (null: last).
 
@@ -352,7 +345,7 @@ def similar_sets(rows: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     tiles = members.join(sizes, F.col("group") == F.col("g")).withColumn("tile", F.pmod(F.xxhash64("set"), F.col("tiles")).cast("int"))
     tiles = stored(tiles.select("set", "first", "group", "tile", "tiles"), "tiles")
     forget(members)
-    texts = base.select("row", "text").join(_few(tiles), F.col("first") == F.col("row")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    texts = base.select("row", "text").join(few(tiles), F.col("first") == F.col("row")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = texts.select("group", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "set", "text")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,4 +385,4 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     full = stored(docs.filter(has).withColumn("_row", F.monotonically_increasing_id()), "rows")  # once written, the numbers stay
     similar = similar_sets(full, id_col=id_col, text_col=text_col)
     kept = similar.groupBy("class").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_kept"))
-    return full.join(_few(stored(kept, "kept")), F.col("_row") == F.col("_kept"), "left_semi").drop("_row").unionByName(docs.filter(~has))
+    return full.join(few(stored(kept, "kept")), F.col("_row") == F.col("_kept"), "left_semi").drop("_row").unionByName(docs.filter(~has))
