@@ -7,6 +7,8 @@ the schedule visits them in van der Corput order (bits reversed), so that any st
 whole. The slots of a source are ranked in visiting order and joined to its blocks by rank; the last block is cut
 where the target is reached.
 
+The slots of a document's words come with the result: sorted by them, documents are the mix.
+
 Nulls: a null text has no words, a null source is a source of its own and comes last, a null id stays null.
 Empty tables give an empty result; sources without words get target 0. Repeated rows stay separate rows. Other
 columns of the input take part only in the shuffle order.
@@ -22,9 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, buckets_for, ranked, stored
+from tessera.llm.common import WORD, buckets_for, few, ranked, stored
 
 BLOCK_TOKENS = 1024
+#: Words of a partition of the mix.
+FILE_WORDS = 2_000_000
 #: Sources are a configured dimension, held on the driver; more are refused.
 MAX_SOURCES = 100_000
 
@@ -56,7 +60,7 @@ def van_der_corput(v: np.ndarray, bits: int) -> np.ndarray:
 
 
 def schedule(spark, quotas: list[int]) -> DataFrame:
-    """(src, rank): for each source as many slots as its quota, ranked in the order in which the schedule visits them; `time` orders all."""
+    """(src, time, rank): for each source as many slots as its quota, ranked in the order in which the schedule visits them; `time` orders all."""
     ends = np.cumsum([0, *quotas])[1:].astype(np.int64)
     n = int(ends[-1]) if len(ends) else 0
     bits = max(1, n.bit_length())
@@ -71,15 +75,17 @@ def schedule(spark, quotas: list[int]) -> DataFrame:
     return ranked(timed, ["src"], [F.col("time")], F.shiftright("time", low)).select("src", "time", "rank")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_of: Callable[[int, str | None], float], share: float = 1.5, cap: float = 2.0, block_tokens: int = BLOCK_TOKENS, seed: int = 1) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, taken, first_taken (words of the first pass), row_hash.
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_of: Callable[[int, str | None], float], share: float = 1.5, cap: float = 2.0, block_tokens: int = BLOCK_TOKENS, seed: int = 1, shuffled_by: list[str] | None = None) -> DataFrame:
+    """One row per document: id, source, size, source_size, target, taken, passes.
 
     weight_of(i, source) gives the weight of the i-th source by code point (null last). The mix holds `share` times
     all words; targets stop at `cap` times their source's size. `taken` counts the words the mix takes of a document,
-    repeats included.
+    repeats included. `passes` has for each pass over the source the words taken in it and the slot of the schedule in
+    which the document first comes up (null: nothing taken); sorted by slot, passes of all documents are the mix.
+    Documents are shuffled by a hash of the columns shuffled_by (all).
     """
     spark = docs.sparkSession
-    row_hash = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, _unhashable())])
+    row_hash = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in shuffled_by or docs.columns if not isinstance(docs.schema[c].dataType, _unhashable())])
     sized = stored(docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
@@ -99,25 +105,24 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         "s_source string, src int, source_size long, target double, target_words long",
     ))
     known = sized.join(sources, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
-    buckets = buckets_for(n_docs)
+    buckets, epochs = buckets_for(n_docs), max(1, math.ceil(cap))
     placed = ranked(known, ["src"], [F.col("row_hash"), F.col("id"), F.col("size")], F.pmod(F.shiftrightunsigned("row_hash", 20), F.lit(buckets)), F.col("size"))
-    slots = schedule(spark, quotas).select(F.col("src").alias("t_src"), F.col("rank").alias("t_slot"))
+    slots = schedule(spark, quotas).select(F.col("src").alias("t_src"), F.col("rank").alias("t_slot"), "time")
     block = F.lit(block_tokens).cast("long")
-    passes = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max(0, math.ceil(cap) - 1)))))
+    passes = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     passes = passes.withColumn("at", F.col("epoch") * F.col("source_size") + F.col("before"))
-    pieces = passes.withColumn("slot", F.explode_outer(F.when(
-        (F.col("size") > 0) & (F.col("epoch") < F.ceil(F.lit(cap))),
-        F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)),
-    )))
+    pieces = passes.withColumn("slot", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)))))
     # the join of blocks to slots: a block that no slot asks for is not taken
     got = pieces.join(slots, (F.col("src") == F.col("t_src")) & (F.col("slot") == F.col("t_slot")), "left")
     end = F.least(F.col("at") + F.col("size"), (F.col("slot") + 1) * block, F.col("target_words"))
     part = F.when(F.col("t_slot").isNotNull(), F.greatest(end - F.greatest(F.col("at"), F.col("slot") * block), F.lit(0))).otherwise(0)
+    own = lambda e, v: F.when(F.col("epoch") == e, v)
+    each = [x for e in range(epochs) for x in (F.sum(own(e, F.col("part"))).alias(f"w{e}"), F.min(own(e, F.when(F.col("part") > 0, F.col("time")))).alias(f"t{e}"))]
     return (
         got.withColumn("part", part.cast("long"))
-        .groupBy("src", "rank", "id", "source", "size", "row_hash", "source_size", "target")
-        .agg(F.sum("part").alias("taken"), F.sum(F.when(F.col("epoch") == 0, F.col("part")).otherwise(0)).alias("first_taken"))
-        .select("id", "source", "size", "source_size", "target", "taken", "first_taken", "row_hash")
+        .groupBy("src", "rank", "id", "source", "size", "source_size", "target")
+        .agg(F.sum("part").alias("taken"), *each)
+        .select("id", "source", "size", "source_size", "target", "taken", F.array(*[F.struct(F.col(f"w{e}").alias("words"), F.col(f"t{e}").alias("slot")) for e in range(epochs)]).alias("passes"))
     )
 
 
@@ -132,14 +137,17 @@ def cycle_521(i: int, source: str | None) -> float:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as the mix takes at least half of its words, in passes; no columns added.
+    """The mix itself: the rows of docs, each once for every pass that takes at least half of its words; no columns added.
 
-    Documents without words are left out: the mix takes nothing of them.
+    Rows come in the order in which the schedule visits them: any stretch of the partitions written is mixed nearly as
+    the whole. Documents without words are left out: the mix takes nothing of them.
     """
-    seed = options.get("seed", 1)
-    taken = mix(docs, weight_of=cycle_521, **options)
-    copies = F.when(2 * F.col("first_taken") >= F.col("size"), 1).otherwise(0) + F.when(2 * (F.col("taken") - F.col("first_taken")) >= F.col("size"), 1).otherwise(0)
-    times = taken.filter("size > 0").groupBy(F.col("row_hash").alias("_mix_hash")).agg(F.sum(copies).alias("_mix_copies")).filter("_mix_copies > 0")
-    plain = [c for c in docs.columns if not isinstance(docs.schema[c].dataType, _unhashable())]
-    keyed = docs.withColumn("_mix_hash", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in plain])).dropDuplicates(["_mix_hash"])
-    return keyed.join(times, "_mix_hash").withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    rows = stored(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")  # once written, the numbers stay
+    taken = mix(rows, id_col="_mix_row", shuffled_by=docs.columns, weight_of=cycle_521, **options)
+    due = taken.filter("size > 0").select(F.col("id").alias("_mix_id"), "size", F.explode("passes").alias("p"))
+    due = stored(due.filter("2 * p.words >= size").select("_mix_id", F.col("size").alias("_mix_size"), F.col("p.slot").alias("_mix_slot")), "mix-due")
+    all_ = due.agg(F.sum("_mix_size").alias("words"), F.max("_mix_slot").alias("top")).first()
+    parts = -(-(all_["words"] or 1) // FILE_WORDS)
+    place = F.floor(F.col("_mix_slot") * parts / ((all_["top"] or 0) + 1)).cast("int")  # slots are spread evenly
+    met = rows.join(few(due), F.col("_mix_row") == F.col("_mix_id"))
+    return met.repartitionById(parts, place).sortWithinPartitions("_mix_slot", "_mix_row").select(*docs.columns)

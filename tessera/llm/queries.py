@@ -11,7 +11,7 @@ from tessera.llm.common import table
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), weight_of=mixing.cycle_521)
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", *[F.get("passes", k)["slot"].alias(f"{w}_slot") for k, w in enumerate(("first", "second"))])
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lattice.near_links(table(spark, sf_dir, "embeddings"))
-    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
