@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
@@ -67,6 +68,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_held: dict[object, object] = {}
+
+
+def held(key: object, make):
+    """make() of this key, kept by a worker until another is asked for: workers serve many stages, and what one needs is no use to the next."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]
+
+
 def few(df: DataFrame) -> DataFrame:
     """A stored table, sent to every executor if it has up to MOST_BROADCAST rows; else joins shuffle."""
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df

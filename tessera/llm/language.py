@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import held
+
 SAMPLE_CHARS, ALL_CHARS, WINDOW = 48_000, 250_000, 512
 #: Languages are a fixed vocabulary; more are refused.
 MAX_LANGUAGES = 500
@@ -148,16 +150,9 @@ class Model:
         return names, scores
 
 
-_models: dict[bytes, Model] = {}
-
-
 def model_of(samples: dict[str, list[str]]) -> Model:
     """Built once in each worker."""
-    key = hashlib.sha256(repr(samples).encode("utf-8", "surrogatepass")).digest()
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(samples)
-    return _models[key]
+    return held(hashlib.sha256(repr(samples).encode("utf-8", "surrogatepass")).digest(), lambda: Model(samples))
 
 
 def sample(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:

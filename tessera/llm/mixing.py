@@ -20,7 +20,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,12 +65,12 @@ def schedule(spark, quotas: list[int]) -> DataFrame:
     n = int(ends[-1]) if len(ends) else 0
     bits = max(1, n.bit_length())
 
-    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = b["id"].to_numpy(np.int64)
-            yield pd.DataFrame({"src": np.searchsorted(ends, v, side="right").astype(np.int32), "time": van_der_corput(v, bits)})
+            v = b.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(ends, v, side="right").astype(np.int32)), pa.array(van_der_corput(v, bits))], ["src", "time"])
 
-    timed = spark.range(n).mapInPandas(slots, "src int, time long")
+    timed = spark.range(n).mapInArrow(slots, "src int, time long")
     low = max(0, bits - int(math.log2(buckets_for(n))))
     return ranked(timed, ["src"], [F.col("time")], F.shiftright("time", low)).select("src", "time", "rank")
 

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import buckets_for, ranked, stored
+from tessera.llm.common import buckets_for, held, ranked, stored
 
 CAPACITY, END = 4096, 1
 #: Words whose ids a worker remembers, twice at most.
-WORDS = 400_000
+WORDS = 200_000
 #: Bytes tokenized at a time.
 CHUNK = 1 << 21
 #: Words handed to the tokenizer at a time: what it keeps of a text is many times the text.
@@ -115,13 +115,8 @@ class WordTokenizer:
         return [b"".join(map(of, words)) for words in split]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def tokenizer_of(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    return held(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 def pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: int = END, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
