@@ -1,19 +1,22 @@
 """Iterated graph algorithms: propagation, spreading, diffusion, and solvers by conjugate gradients.
 
 A state is a table (id, x) with an array of one double per class. A step is a join of edges with the state on src and
-partial sums by dst. Lineage is cut by checkpoint() into the folder that driver and executors share;
-what the driver sees of a step is a number per class.
+partial sums by dst. Each step is written to the folder that driver and executors share and read again: plans stay
+short, a lost executor costs a step, and the planner knows the size of what it joins. What the driver sees of a step
+is a number per class.
 """
 
 from __future__ import annotations
 
 import atexit
-import shutil
+import contextlib
 import tempfile
+import uuid
+import warnings
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import argmax, normalised
@@ -22,16 +25,46 @@ from tessera.operators.edges import normalized, spmm
 EVERY = 5
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only where none is set and all runs on one machine."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not given and own.isDefined():
+        given = own.get()
+    if not given:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        given = tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(given)
+    home = f"{given.rstrip('/')}/steps-{spark.sparkContext.applicationId}"
+    if home not in _homes:
+        _homes.add(home)
+        atexit.register(_remove, spark, home)
+    return home
+
+
+_homes: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder (spark.checkpoint.dir); a temporary one is set only where none is."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        made = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        sc.setCheckpointDir(made)
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
+    """df written to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete what cut() wrote, once nothing reads it any more."""
+    if path := getattr(df, "_cut_at", None):
+        _remove(df.sparkSession, path)
 
 
 def zeros(n: int) -> Column:
@@ -58,33 +91,54 @@ def residual(new: DataFrame, old: DataFrame) -> float:
 
 
 def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], n: int, tol: float | None = None, every: int = EVERY) -> DataFrame:
-    """n steps, or until the greatest change is at most tol (looked at every few steps).
+    """n steps, or until the greatest change is at most tol (looked at every few steps); a warning if it never is.
 
     Each step is cut: a plan of several steps takes longer to plan than its steps to run, and a lost executor costs one step.
     """
+    made: DataFrame | None = None
     for i in range(1, n + 1):
-        new = cut(step(state)) if i < n else step(state)
-        if tol is not None and i % every == 0 and i < n and residual(new, state) <= tol:
+        new, change = cut(step(state)) if i < n else step(state), None
+        if tol is not None and i < n and (i % every == 0 or i == n - 1):
+            change = residual(new, state)
+        if i < n and made is not None:
+            drop(made)
+        if change is not None and change <= tol:
             return new
-        state = new
+        if change is not None and i == n - 1:
+            warnings.warn(f"{n} steps: entries still change by {change:.2g}, more than {tol:.2g}", stacklevel=2)
+        made = state = new
     return state
 
 
 def _spread(edges: DataFrame, state: DataFrame, size: int) -> DataFrame:
     """P x for every node of the state; nodes without an edge get zeros."""
-    out = spmm(edges, state, size).select(F.col("id").alias("_i"), F.col("x").alias("_x"))
-    return state.select("id").join(out, F.col("id") == F.col("_i"), "left").select("id", F.coalesce("_x", zeros(size)).alias("x"))
+    return _gathered(edges, state, size, {}).select("id", "x")
+
+
+def _gathered(edges: DataFrame, state: DataFrame, size: int, kept: dict[str, Column]) -> DataFrame:
+    """(id, x = P x, and columns of the state as they are): the state's own rows go into the sums with weight zero, so that no join back is needed."""
+    met = edges.join(state.select(F.col("id").alias("src"), "x"), "src")
+    sent = met.select(F.col("dst").alias("id"), *[(F.col("w") * F.col("x")[i]).alias(f"_{i}") for i in range(size)], F.lit(False).alias("_own"), *[F.lit(None).cast(state.select(c).schema[0].dataType).alias(k) for k, c in kept.items()])
+    own = state.select("id", *[F.lit(0.0).alias(f"_{i}") for i in range(size)], F.lit(True).alias("_own"), *[c.alias(k) for k, c in kept.items()])
+    sums = sent.unionAll(own).groupBy("id").agg(*[F.sum(f"_{i}").alias(f"_{i}") for i in range(size)], F.max("_own").alias("_own"), *[F.max(k).alias(k) for k in kept])
+    return sums.filter("_own").select("id", F.array(*[f"_{i}" for i in range(size)]).alias("x"), *kept)
+
+
+def _known_class(labels: DataFrame, n_classes: int) -> DataFrame:
+    """(id, x, y): onehot rows and the class, null where there is none."""
+    row = F.array(*[F.when(F.col("y") == c, 1.0).otherwise(0.0) for c in range(n_classes)])
+    return labels.select("id", row.alias("x"), F.when(F.col("y") >= 0, F.col("y")).cast("int").alias("y"))
 
 
 def label_propagation(edges: DataFrame, labels: DataFrame, n_classes: int, steps: int = 200, tol: float | None = 1e-6, norm: str = "rw") -> DataFrame:
     """F <- P F, labelled rows clamped, rows divided by their sums."""
-    p, y = cut(normalized(edges, norm, "dst")), cut(onehot(labels, n_classes))
+    p, start = cut(normalized(edges, norm, "dst")), cut(_known_class(labels, n_classes))
+    given = F.array(*[F.when(F.col("y") == c, 1.0).otherwise(0.0) for c in range(n_classes)])
 
     def step(f: DataFrame) -> DataFrame:
-        given = y.select("id", F.col("x").alias("y"), "known")
-        return _spread(p, f, n_classes).join(given, "id").select("id", F.when(F.col("known"), F.col("y")).otherwise(normalised("x")).alias("x"))
+        return _gathered(p, f, n_classes, {"y": F.col("y")}).select("id", F.when(F.col("y").isNotNull(), given).otherwise(normalised("x")).alias("x"), "y")
 
-    return iterate(y.select("id", "x"), step, steps, tol)
+    return iterate(start, step, steps, tol).select("id", "x")
 
 
 def label_spreading(edges: DataFrame, labels: DataFrame, n_classes: int, steps: int = 200, alpha: float = 0.99, tol: float | None = 1e-6, norm: str = "sym") -> DataFrame:
@@ -93,13 +147,14 @@ def label_spreading(edges: DataFrame, labels: DataFrame, n_classes: int, steps:
 
 
 def fixed_point(edges: DataFrame, y: DataFrame, size: int, steps: int, alpha: float = 0.99, tol: float | None = None, norm: str = "sym", by: str = "dst") -> DataFrame:
-    p, y = cut(normalized(edges, norm, by)), cut(y)
+    p, start = cut(normalized(edges, norm, by)), cut(y.select("id", "x", F.col("x").alias("y")))
+    kept = {f"y{i}": F.col("y")[i] for i in range(size)}
 
     def step(f: DataFrame) -> DataFrame:
-        back = y.select("id", F.col("x").alias("y"))
-        return _spread(p, f, size).join(back, "id").select("id", F.zip_with("x", "y", lambda a, b: alpha * a + (1 - alpha) * b).alias("x"))
+        back = F.array(*kept)
+        return _gathered(p, f, size, kept).select("id", F.zip_with("x", back, lambda a, b: alpha * a + (1 - alpha) * b).alias("x"), back.alias("y"))
 
-    return iterate(y, step, steps, tol)
+    return iterate(start, step, steps, tol).select("id", "x")
 
 
 def diffusion_view(edges: DataFrame, x: DataFrame, size: int, steps: int, alpha: float = 0.1) -> DataFrame:
@@ -140,23 +195,34 @@ def _dots(df: DataFrame, pairs: list[tuple[str, str]], size: int) -> list[np.nda
 
 
 def conjugate_gradients(matvec: Callable[[DataFrame], DataFrame], b: DataFrame, size: int, tol: float = 1e-6, max_iter: int = 200) -> tuple[DataFrame, int, float]:
-    """Solves A x = b for all columns at once, A symmetric and positive; stops when every residual norm is at most tol (absolute)."""
+    """Solves A x = b for all columns at once, A symmetric and positive; stops when every residual norm is at most tol (absolute), and warns if none does.
+
+    An iteration writes one table and takes all its sums in one go: the new residual is r - alpha A p, whose square
+    follows from the sums r r, r A p and A p A p.
+    """
     state = cut(b.select("id", zeros(size).alias("x"), F.col("x").alias("r"), F.col("x").alias("p")))
     (rr,) = _dots(state, [("r", "r")], size)
     for i in range(max_iter):
         if np.sqrt(rr).max() <= tol:
             return state.select("id", "x"), i, float(np.sqrt(rr).max())
         ap = matvec(state.select("id", F.col("p").alias("x"))).select("id", F.col("x").alias("ap"))
-        state = cut(state.join(ap, "id"))
-        (pap,) = _dots(state, [("p", "ap")], size)
-        alpha = _array(np.divide(rr, pap, out=np.zeros(size), where=pap > 0))
-        moved = lambda x, step, sign: F.transform(F.arrays_zip(F.col(x).alias("v"), F.col(step).alias("s"), alpha.alias("a")), lambda z: z["v"] + sign * z["a"] * z["s"])
-        state = state.select("id", moved("x", "p", 1.0).alias("x"), moved("r", "ap", -1.0).alias("r"), "p")
-        (new,) = _dots(state, [("r", "r")], size)
-        beta = _array(np.divide(new, rr, out=np.zeros(size), where=rr > 0))
-        state = state.withColumn("p", F.transform(F.arrays_zip(F.col("r").alias("r"), F.col("p").alias("q"), beta.alias("b")), lambda z: z["r"] + z["b"] * z["q"]))
+        met = cut(state.join(ap, "id"))
+        drop(state)
+        rr, pap, rap, apap = _dots(met, [("r", "r"), ("p", "ap"), ("r", "ap"), ("ap", "ap")], size)
+        alpha = np.divide(rr, pap, out=np.zeros(size), where=pap > 0)
+        new = np.maximum(rr - 2 * alpha * rap + alpha**2 * apap, 0.0)
+        beta = np.divide(new, rr, out=np.zeros(size), where=rr > 0)
+        given = F.arrays_zip(*[F.col(k).alias(k) for k in ("x", "r", "p", "ap")], _array(alpha).alias("alpha"), _array(beta).alias("beta"))
+        x = F.transform(given, lambda z: z["x"] + z["alpha"] * z["p"])
+        r = F.transform(given, lambda z: z["r"] - z["alpha"] * z["ap"])
+        p = F.transform(given, lambda z: z["r"] - z["alpha"] * z["ap"] + z["beta"] * z["p"])
+        state = met.select("id", x.alias("x"), r.alias("r"), p.alias("p"))
+        state._cut_at = met._cut_at
         rr = new
-    return state.select("id", "x"), max_iter, float(np.sqrt(rr).max())
+    left = float(np.sqrt(rr).max())
+    if left > tol:
+        warnings.warn(f"{max_iter} iterations: a residual of {left:.2g} is left, more than {tol:.2g}", stacklevel=2)
+    return state.select("id", "x"), max_iter, left
 
 
 def affinity(edges: DataFrame) -> DataFrame:

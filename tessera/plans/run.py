@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.functions.seeds import fingerprint
 from tessera.operators import classifiers, deep, edges, metrics, propagate, sampling, selflabel, small, views
 from tessera.operators.augment import weak_and_strong
-from tessera.plans.hpo import Space, merged, search
+from tessera.plans.hpo import Space, patched, search
 from tessera.plans.preprocess import PreprocessPlan, preprocess
 from tessera.sources.catalog import load_dataset
 
@@ -132,7 +132,8 @@ def _supervised(ctx, p):
 
 def _co(ctx, p):
     out = selflabel.co_training(ctx["labelled_views"], ctx["pool_views"], ctx["n_classes"], ("view_a", "view_b"), ctx["base"], **p)
-    return out["models"][0].scores(ctx["row_views"].select("id", F.col("view_a").alias("x")))
+    a, b = (m.scores(ctx["row_views"].select("id", F.col(v).alias("x"))) for m, v in zip(out["models"], ("view_a", "view_b"), strict=True))
+    return a.join(b.select("id", F.col("x").alias("other")), "id").select("id", F.zip_with("x", "other", lambda p, q: (p + q) / 2).alias("x"))
 
 
 def _tri(ctx, p):
@@ -250,14 +251,12 @@ def run_one(spark: SparkSession, config: dict, out_dir: str | None = None) -> di
         s = config.get("search", {})
         if s.get("enabled"):
             def score(patch: dict, seed: int) -> float:
-                tried = merged(config, patch)
+                tried = patched(config, patch)
                 return measure(ctx, fit_and_score(ctx, tried), tried).get(s.get("split", "val"), {}).get(s.get("metric", "accuracy"), float("nan"))
 
             report["hpo"] = search(Space(s["space"]), score, s.get("kind", "grid"), s.get("n_trials", 10), s.get("seed", 0), s.get("repeats", 1))
             if report["hpo"]["best"]:
-                from tessera.plans.hpo import nested
-
-                config = validated(merged(config, nested(report["hpo"]["best"]["params"])))
+                config = validated(patched(config, report["hpo"]["best"]["params"]))
         report["metrics"] = measure(ctx, fit_and_score(ctx, config), config)
         report["artifacts"] = {"applied": ctx["prepared"].applied, "skipped": ctx["prepared"].skipped, "preprocess": ctx["prepared"].fingerprint}
         report["run"]["status"] = "success"

@@ -90,25 +90,26 @@ def ensure_2d(spark, d):
 W = r"list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}]+'), lambda w: w <> '')"
 
 
-@query(f"""WITH t AS (SELECT doc_id AS id, list_slice({W}, 1, 16) AS w FROM documents), i AS (SELECT id, [CAST('0x' || substr(md5(v), 1, 8) AS BIGINT) % 29998 + 2 FOR v IN w] AS k FROM t)
-SELECT id, list_resize(k, 16, 0) AS input_ids, list_resize([CAST(1 AS TINYINT) FOR v IN k], 16, CAST(0 AS TINYINT)) AS attention_mask FROM i""")
+@query(f"""WITH t AS (SELECT doc_id AS id, list_slice({W}, 1, 64) AS w FROM documents), i AS (SELECT id, [CAST('0x' || substr(md5(v), 1, 8) AS BIGINT) % 29998 + 2 FOR v IN w] AS k FROM t)
+SELECT id, list_resize(k, 64, 0) AS input_ids, list_resize([CAST(1 AS TINYINT) FOR v IN k], 64, CAST(0 AS TINYINT)) AS attention_mask FROM i""")
 def hash_tokenize(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return X.hash_tokenized(rows, "text", 16).select("id", "input_ids", "attention_mask")
+    return X.hash_tokenized(rows, "text", 64).select("id", "input_ids", "attention_mask")
 
 
-VOC = f"t AS (SELECT doc_id AS id, unnest({W}) AS token FROM documents), c AS (SELECT token, count(*) AS n FROM t GROUP BY 1), v AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 1 AS token_id FROM c ORDER BY n DESC, token LIMIT 498)"
+VOCABULARY = 30_000
+VOC = f"t AS (SELECT doc_id AS id, unnest({W}) AS token FROM documents), c AS (SELECT token, count(*) AS n FROM t GROUP BY 1), v AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 1 AS token_id FROM c ORDER BY n DESC, token LIMIT {VOCABULARY - 2})"
 
 
 @query(f"WITH {VOC} SELECT token, n, token_id FROM v")
 def vocab_build(spark, d):
-    return X.fit_vocabulary(table(spark, d, "documents"), "text", 500)
+    return X.fit_vocabulary(table(spark, d, "documents"), "text", VOCABULARY)
 
 
-@query(f"WITH {VOC}, s AS (SELECT doc_id AS id, list_slice({W}, 1, 12) AS w FROM documents), e AS (SELECT id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM s), g AS (SELECT id, list(coalesce(token_id, 1) ORDER BY pos) AS k FROM e LEFT JOIN v USING (token) GROUP BY 1) SELECT id, list_resize(k, 12, 0) AS input_ids FROM g")
+@query(f"WITH {VOC}, s AS (SELECT doc_id AS id, list_slice({W}, 1, 256) AS w FROM documents), e AS (SELECT id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM s), g AS (SELECT id, list(coalesce(token_id, 1) ORDER BY pos) AS k FROM e LEFT JOIN v USING (token) GROUP BY 1) SELECT id, list_resize(k, 256, 0) AS input_ids FROM g")
 def vocab_tokenize(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return X.vocabulary_tokenized(rows, "text", X.fit_vocabulary(rows, "text", 500), 12).select("id", "input_ids")
+    return X.vocabulary_tokenized(rows, "text", X.fit_vocabulary(rows, "text", VOCABULARY), 256).select("id", "input_ids")
 
 
 @query(r"""WITH t AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+'), lambda w: length(w) >= 2)) AS term FROM documents), f AS (SELECT id, term, count(*) AS tf FROM t GROUP BY 1, 2),
@@ -133,9 +134,9 @@ def word_dropout(spark, d):
     return A.augmented(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), "text", [("text.word_dropout", {})], SEED)
 
 
-@query(f"WITH t AS (SELECT doc_id AS id, list_slice({W}, 1, 8) AS w FROM documents), e AS (SELECT id, unnest(list_resize([CAST('0x' || substr(md5(v), 1, 8) AS BIGINT) % 29998 + 2 FOR v IN w], 8, 0)) AS k, unnest(range(8)) AS i FROM t) SELECT id, list(CASE WHEN k <> 0 AND {_u('text.token_mask', 0, 0, 'id', 'i')} < 0.1 THEN 1 ELSE k END ORDER BY i) AS input_ids FROM e GROUP BY 1")
+@query(f"WITH t AS (SELECT doc_id AS id, list_slice({W}, 1, 64) AS w FROM documents), e AS (SELECT id, unnest(list_resize([CAST('0x' || substr(md5(v), 1, 8) AS BIGINT) % 29998 + 2 FOR v IN w], 64, 0)) AS k, unnest(range(64)) AS i FROM t) SELECT id, list(CASE WHEN k <> 0 AND {_u('text.token_mask', 0, 0, 'id', 'i')} < 0.1 THEN 1 ELSE k END ORDER BY i) AS input_ids FROM e GROUP BY 1")
 def token_mask(spark, d):
-    rows = X.hash_tokenized(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "text", 8)
+    rows = X.hash_tokenized(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "text", 64)
     return A.augmented(rows, "input_ids", [("text.token_mask", {})], SEED).select("id", "input_ids")
 
 

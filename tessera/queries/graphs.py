@@ -129,9 +129,9 @@ def edge_sparsify(spark, d):
     return E.sparsified(table(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")), 0.3, SEED)
 
 
-@query(f"WITH {HEAT} SELECT dst AS id, round(sum(w * n.x[1]), 6) AS a, round(sum(w * n.x[64]), 6) AS b FROM h JOIN n ON n.id = src GROUP BY 1")
+@query(f"WITH {HEAT} SELECT dst AS id, c, round(sum(w * n.x[c + 1]), 6) AS f FROM h JOIN n ON n.id = src, (SELECT unnest(range(64)) AS c) GROUP BY 1, 2")
 def spmm(spark, d):
-    return E.spmm(_heat(spark, d), _nodes(spark, d), 64).select("id", F.round(F.col("x")[0], 6).alias("a"), F.round(F.col("x")[63], 6).alias("b"))
+    return _long(E.spmm(_heat(spark, d), _nodes(spark, d), 64))
 
 
 #: Long tables (id, c, f) in SQL, arrays in Spark.
@@ -182,13 +182,14 @@ def label_spreading_k(spark, d):
     return _long(P.label_spreading(_graph(spark, d, "rw"), _labels(spark, d), 10, 5, 0.9, None))
 
 
-@query(_fp_sql("SELECT id, c, n.x[c + 1] AS v FROM n, cls", 0.9, 3, "SELECT dst AS src, src AS dst, w / sum(w) OVER (PARTITION BY src) AS w FROM e"))
+WIDE = "n, (SELECT unnest(range(64)) AS c)"
+
+
+@query(_fp_sql(f"SELECT id, c, n.x[c + 1] AS v FROM {WIDE}", 0.9, 3, "SELECT dst AS src, src AS dst, w / sum(w) OVER (PARTITION BY src) AS w FROM e"))
 def diffusion_view_k(spark, d):
-    x = _nodes(spark, d).select("id", F.slice("x", 1, 10).alias("x"))
-    return _long(P.diffusion_view(_graph(spark, d, "rw"), x, 10, 3, 0.1))
+    return _long(P.diffusion_view(_graph(spark, d, "rw"), _nodes(spark, d).select("id", "x"), 64, 3, 0.1))
 
 
-@query(f"WITH {RW}, dg AS (SELECT dst AS id, sum(w) AS g FROM e GROUP BY 1) SELECT n.id, round(any_value(n.x[1]) - sum(w / sqrt(a.g * b.g) * m.x[1]), 6) AS f FROM n JOIN e ON e.dst = n.id JOIN dg a ON a.id = e.src JOIN dg b ON b.id = e.dst JOIN n m ON m.id = e.src GROUP BY 1".replace("m AS MATERIALIZED", "m0 AS MATERIALIZED").replace("FROM m a JOIN m b", "FROM m0 a JOIN m0 b"))
+@query(f"WITH {RW}, dg AS (SELECT dst AS id, sum(w) AS g FROM e GROUP BY 1), s AS MATERIALIZED (SELECT src, dst, w / sqrt(a.g * b.g) AS w FROM e JOIN dg a ON a.id = src JOIN dg b ON b.id = dst), v AS MATERIALIZED (SELECT id, c, x[c + 1] AS v FROM {WIDE}), q AS (SELECT dst AS id, c, sum(w * v) AS q FROM s JOIN v ON v.id = src GROUP BY 1, 2) SELECT id, c, round(v - coalesce(q, 0), 6) AS f FROM v LEFT JOIN q USING (id, c)")
 def laplacian_matvec(spark, d):
-    x = _nodes(spark, d).select("id", F.slice("x", 1, 1).alias("x"))
-    return P.laplacian(_graph(spark, d, "rw"), x, 1).select("id", F.round(F.col("x")[0], 6).alias("f"))
+    return _long(P.laplacian(_graph(spark, d, "rw"), _nodes(spark, d).select("id", "x"), 64))

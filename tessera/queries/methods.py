@@ -12,13 +12,51 @@ from tessera.queries import query, table
 from tessera.queries.graphs import HEAT, SEED, _graph, _heat, _labels, _nodes
 
 
-def _two(spark, d):
-    """Two classes, their graph, ten labels each."""
+def _graph_and_labels(spark, d):
+    """All vectors, their graph, the class of every fifth."""
     from tessera.operators.edges import GraphSpec, build_graph
 
-    rows = _nodes(spark, d).filter("y < 2")
+    rows = _nodes(spark, d)
     labels = rows.select("id", F.when(F.col("id") % 5 == 0, F.col("y")).otherwise(-1).alias("y"))
-    return rows, build_graph(rows, GraphSpec(k=8, symmetrize="or", normalize="none", self_loops=False)), labels
+    return rows, P.cut(build_graph(rows, GraphSpec(k=8, symmetrize="or", normalize="none", self_loops=False))), labels
+
+
+def _first_or_rest(labels):
+    """For methods of two classes: the first against all others."""
+    return labels.select("id", F.when(F.col("y") < 0, -1).when(F.col("y") == 0, 0).otherwise(1).alias("y"))
+
+
+GIVEN = f"""{HEAT}, g AS MATERIALIZED (SELECT src, dst, avg(w) AS w FROM (SELECT src, dst, w FROM h UNION ALL SELECT dst, src, w FROM h) GROUP BY 1, 2), dg AS MATERIALIZED (SELECT dst AS id, sum(w) AS g FROM g GROUP BY 1),
+sn AS MATERIALIZED (SELECT src, dst, w / sqrt(a.g * b.g) AS w FROM g JOIN dg a ON a.id = src JOIN dg b ON b.id = dst), cls AS (SELECT unnest(range(10)) AS c),
+y AS MATERIALIZED (SELECT id, c, y AS lab, id % 5 = 0 AS known, CASE WHEN id % 5 = 0 AND y = c THEN 1.0 ELSE 0.0 END AS v FROM n, cls)"""
+
+
+def _solved(b: str, product: str, steps: int = 60) -> str:
+    """Conjugate gradients from zero, unrolled: b has (id, c, v); product gives A p from a state s (id, c, x, r, p)."""
+    out = f"b AS MATERIALIZED ({b}), s0 AS MATERIALIZED (SELECT id, c, 0.0::DOUBLE AS x, v::DOUBLE AS r, v::DOUBLE AS p FROM b)"
+    for i in range(steps):
+        out += f""", a{i} AS MATERIALIZED ({product.replace("STATE", f"s{i}")}),
+k{i} AS MATERIALIZED (SELECT c, CASE WHEN sum(p * ap) > 0 THEN sum(r * r) / sum(p * ap) ELSE 0 END AS al, sum(r * r) AS rr FROM a{i} GROUP BY 1),
+t{i} AS MATERIALIZED (SELECT id, c, x + al * p AS x, r - al * ap AS r, p, rr FROM a{i} JOIN k{i} USING (c)),
+u{i} AS MATERIALIZED (SELECT c, CASE WHEN any_value(rr) > 0 THEN sum(r * r) / any_value(rr) ELSE 0 END AS be FROM t{i} GROUP BY 1),
+s{i + 1} AS MATERIALIZED (SELECT id, c, x, r, r + be * p AS p FROM t{i} JOIN u{i} USING (c))"""
+    return out + f", f AS MATERIALIZED (SELECT id, c, x FROM s{steps})"
+
+
+SENT = "(SELECT e.dst AS id, c, sum(e.w * p) AS q FROM {edges} e JOIN STATE ON STATE.id = e.src GROUP BY 1, 2)"
+BEST = "SELECT id, CAST(c AS INTEGER) AS p FROM (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY x DESC, c) AS k FROM {}) WHERE k = 1"
+LAPLACE = _solved(
+    "SELECT y.id, y.c, coalesce(q, 0) AS v FROM y LEFT JOIN (SELECT dst AS id, c, sum(w * v) AS q FROM g JOIN y ON y.id = src AND known GROUP BY 1, 2) USING (id, c) WHERE NOT known",
+    "SELECT STATE.*, g * p - coalesce(q, 0) AS ap FROM STATE JOIN dg USING (id) LEFT JOIN " + SENT.format(edges="g") + " USING (id, c)",
+)
+LAZY = _solved(
+    "SELECT id, 0 AS c, CASE WHEN id % 5 <> 0 THEN 0.0 WHEN y = 0 THEN -1.0 ELSE 1.0 END AS v FROM n",
+    "SELECT STATE.*, p - 0.99 * coalesce(q, 0) AS ap FROM STATE LEFT JOIN " + SENT.format(edges="sn") + " USING (id, c)",
+)
+POISSON = _solved(
+    "SELECT id, c, CASE WHEN known THEN v - avg(CASE WHEN known THEN v END) OVER (PARTITION BY c) ELSE 0 END AS v FROM y",
+    "SELECT STATE.*, p - coalesce(q, 0) + 1e-6 * p + avg(p) OVER (PARTITION BY c) AS ap FROM STATE LEFT JOIN " + SENT.format(edges="sn") + " USING (id, c)",
+)
 
 
 WALK = f"""{HEAT}, nb AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k, count(*) OVER (PARTITION BY src) AS deg FROM h),
@@ -47,52 +85,51 @@ def struct_view(spark, d):
     return W.struct_view(_heat(spark, d), _nodes(spark, d), 16, 4, 2, 2, SEED)
 
 
-@query()
+@query(f"WITH {GIVEN}, {LAPLACE}, e AS (SELECT * FROM f UNION ALL SELECT id, c, v FROM y WHERE known) {BEST.format('e')}")
 def laplace_learning(spark, d):
-    rows, edges, labels = _two(spark, d)
-    return P.predictions(P.laplace_learning(edges, labels, 2, 1e-4, 12))
+    _, edges, labels = _graph_and_labels(spark, d)
+    return P.predictions(P.laplace_learning(edges, labels, 10))
 
 
-@query()
+@query(f"WITH {GIVEN}, {LAZY} SELECT id, CASE WHEN x >= 0 THEN 1 ELSE 0 END AS p FROM f")
 def lazy_random_walk(spark, d):
-    rows, edges, labels = _two(spark, d)
-    return P.predictions(P.lazy_random_walk(edges, labels, 0.9, 1e-4, 12))
+    _, edges, labels = _graph_and_labels(spark, d)
+    return P.predictions(P.lazy_random_walk(edges, _first_or_rest(labels)))
 
 
-@query()
+@query(f"WITH {GIVEN}, {POISSON} {BEST.format('f')}")
 def poisson_learning(spark, d):
-    rows, edges, labels = _two(spark, d)
-    return P.predictions(P.poisson_learning(edges, labels, 2, max_iter=12, tol=1e-4))
+    _, edges, labels = _graph_and_labels(spark, d)
+    return P.predictions(P.poisson_learning(edges, labels, 10))
 
 
 @query()
 def poisson_mbo(spark, d):
-    rows, edges, labels = _two(spark, d)
-    return P.predictions(P.poisson_mbo(edges, labels, 2, steps=4, outer=1, inner=3))
+    _, edges, labels = _graph_and_labels(spark, d)
+    return P.predictions(P.poisson_mbo(edges, labels, 10, steps=20, outer=2, inner=5))
 
 
 @query()
 def graph_mincut(spark, d):
-    rows, edges, labels = _two(spark, d)
-    return P.predictions(Z.graph_mincut(edges, labels))
+    _, edges, labels = _graph_and_labels(spark, d)
+    return P.predictions(Z.graph_mincut(edges, _first_or_rest(labels)))
 
 
 @query()
 def dynamic_label_propagation(spark, d):
-    rows, edges, labels = _two(spark, d)
-    return P.predictions(Z.dynamic_label_propagation(edges, labels, 2, steps=10))
+    _, edges, labels = _graph_and_labels(spark, d)
+    return P.predictions(Z.dynamic_label_propagation(edges, labels, 10))
 
 
 @query()
 def tsvm(spark, d):
-    rows, _, labels = _two(spark, d)
-    return P.predictions(Z.tsvm(rows.drop("y").join(labels, "id"), rounds=2, epochs=2))
+    rows, _, labels = _graph_and_labels(spark, d)
+    return P.predictions(Z.tsvm(rows.drop("y").join(_first_or_rest(labels), "id")))
 
 
 @query()
 def sgc(spark, d):
-    x = _nodes(spark, d).select("id", F.slice("x", 1, 16).alias("x"))
-    return P.predictions(D.sgc(_graph(spark, d), x, _labels(spark, d), 10, 16, base=C.Student(steps=5)))
+    return P.predictions(D.sgc(_graph(spark, d), _nodes(spark, d).select("id", "x"), _labels(spark, d), 10, 64))
 
 
 @query()

@@ -112,10 +112,10 @@ def cut_edge_stat(spark, d):
     return _r(L.cut_edge_test(L.knn_union(rows, 5), rows, shares).select("id", "o", "mu", "var"), "mu", "var")
 
 
-@query(f"""WITH {LAB}, q AS MATERIALIZED (SELECT m.* FROM m JOIN l USING (id) WHERE known AND l.y < 4), d AS MATERIALIZED (SELECT a.id AS s, b.id AS t, list_distance(a.x, b.x) AS w FROM q a JOIN q b ON a.id <> b.id)
+@query(f"""WITH {LAB}, q AS MATERIALIZED (SELECT m.* FROM m JOIN l USING (id) WHERE known), d AS MATERIALIZED (SELECT a.id AS s, b.id AS t, list_distance(a.x, b.x) AS w FROM q a JOIN q b ON a.id <> b.id)
 SELECT g.s AS src, g.t AS dst FROM d g WHERE NOT EXISTS (SELECT 1 FROM d e JOIN d f ON f.t = e.t WHERE e.s = g.s AND f.s = g.t AND e.w < g.w AND f.w < g.w)""")
 def relative_neighbours(spark, d):
-    return L.relative_neighbours(_nodes(spark, d).filter("is_labelled and y < 4")).select("src", "dst")
+    return L.relative_neighbours(_nodes(spark, d).filter("is_labelled")).select("src", "dst")
 
 
 @query(f"WITH {S0} SELECT id, round(pow(x[1], 2) / list_sum([v * v FOR v IN x]), 6) AS a, round(pow(x[5], 2) / list_sum([v * v FOR v IN x]), 6) AS b FROM s")

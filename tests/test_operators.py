@@ -293,12 +293,12 @@ def test_space_and_search():
     assert [tuple(p.values()) for p in s.grid()] == [("x", 1), ("x", 2), ("y", 1), ("y", 2)]
     r = list(hpo.Space({"a": {"dist": "loguniform", "low": 0.1, "high": 10}, "b": {"dist": "randint", "low": 1, "high": 3}}).random(1, 20))
     assert all(0.1 <= p["a"] < 10 and p["b"] in (1, 2) for p in r) and r == list(hpo.Space({"a": {"dist": "loguniform", "low": 0.1, "high": 10}, "b": {"dist": "randint", "low": 1, "high": 3}}).random(1, 20))
-    found = hpo.search(s, lambda patch, seed: {1: float("nan"), 2: 1.0}[patch["method"]["params"]["b"]])
+    found = hpo.search(s, lambda patch, seed: {1: float("nan"), 2: 1.0}[patch["method.params.b"]])
     assert found["best"]["index"] == 1
     for bad in ({}, {"a": []}, {"a": {"dist": "uniform", "low": 2, "high": 1}}, {"a": {"dist": "choice", "values": [1], "low": 1}}):
         with pytest.raises(hpo.SearchError):
             hpo.Space(bad)
-    assert hpo.merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}} and hpo.flat({"a": {"b": 1}}) == {"a.b": 1}
+    assert hpo.patched({"a": {"b": 1, "c": 2}}, {"a.b": 3, "d.e": 4}) == {"a": {"b": 3, "c": 2}, "d": {"e": 4}} and hpo.leaves({"a": {"b": 1}, "": {}}) == {"": {}, "a.b": 1}
 
 
 def test_preprocess_plan(spark):
