@@ -127,6 +127,7 @@ class GraphSpec:
     per_node: int = 5
     candidate_limit: int | None = None
     seed: int = 0
+    block_rows: int | None = None
 
     @classmethod
     def from_dict(cls, d: dict) -> GraphSpec:
@@ -152,7 +153,7 @@ class GraphSpec:
 
 def raw_pairs(nodes: DataFrame, spec: GraphSpec) -> DataFrame:
     if spec.scheme == "knn":
-        return similarity.knn(nodes, spec.k, spec.metric)
+        return similarity.knn(nodes, spec.k, spec.metric, block_rows=spec.block_rows)
     if spec.scheme == "epsilon":
         return similarity.epsilon_pairs(nodes, spec.radius, spec.metric)
     return similarity.anchor_graph(nodes, spec.k, spec.seed, spec.per_node, spec.n_anchors, spec.metric, spec.candidate_limit)

@@ -31,6 +31,11 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _blocked(df: DataFrame, blocks: int, id_col: str, x_col: str) -> DataFrame:
+    """Rows without an id, or whose vector is null or holds a null, are near nothing; an id that is no whole number is an error."""
+    if df.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_col} must be whole numbers")
+    v = F.col(x_col)
+    df = df.filter(F.col(id_col).isNotNull() & F.coalesce(~F.exists(v, lambda e: e.isNull()), F.lit(False)))
     return df.select(F.col(id_col).cast("long").alias("id"), as_double(x_col).alias("x"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"))
 
 
@@ -41,9 +46,9 @@ def _paired(queries: DataFrame, base: DataFrame, blocks_q: int, blocks_b: int) -
     return left.unionByName(right)
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", x_col: str = "x", itself: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", x_col: str = "x", itself: bool = False, block_rows: int | None = None) -> DataFrame:
     """(src, dst, d): the k base rows nearest to each query, distances ascending; a row is no neighbour of its own id unless `itself`."""
-    bq, bb = (max(1, math.ceil(n / BLOCK_ROWS)) for n in (queries.count(), base.count()))
+    bq, bb = (max(1, math.ceil(n / (block_rows or BLOCK_ROWS))) for n in (queries.count(), base.count()))
     pairs = _paired(_blocked(queries, bq, id_col, x_col), _blocked(base, bb, id_col, x_col), bq, bb)
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -67,8 +72,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine",
     return near.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
 
 
-def knn(nodes: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", x_col: str = "x") -> DataFrame:
-    return nearest(nodes, nodes, k, metric, id_col, x_col)
+def knn(nodes: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", x_col: str = "x", block_rows: int | None = None) -> DataFrame:
+    return nearest(nodes, nodes, k, metric, id_col, x_col, block_rows=block_rows)
 
 
 def epsilon_pairs(nodes: DataFrame, radius: float, metric: str = "euclidean", id_col: str = "id", x_col: str = "x") -> DataFrame:

@@ -128,9 +128,15 @@ def mixup_weight(u: Column) -> Column:
     return F.greatest(u, 1 - u)
 
 
+#: Rows of a queue unless another number is asked for, and at most.
+QUEUE, MOST_QUEUED = 2560, 65_536
+
+
 def smoothed_by_memory(scores: DataFrame, feats: str, queue: DataFrame, alpha: float = 0.9, temperature: float = 0.2, n_classes: int = 10) -> DataFrame:
-    """alpha p + (1 - alpha) sum of queue scores weighted by exp(cos / T). The queue (feat, q) is bounded by its definition (2560 rows)."""
-    rows = F.broadcast(queue.select("feat", "q").limit(2560))
+    """alpha p + (1 - alpha) sum of queue scores weighted by exp(cos / T). The queue (feat, q) has a fixed size, which is checked."""
+    if queue.limit(MOST_QUEUED + 1).count() > MOST_QUEUED:
+        raise ValueError(f"a queue of more than {MOST_QUEUED} rows")
+    rows = F.broadcast(queue.select("feat", "q"))
     cos = dot(feats, "feat") / (norm(feats) * norm("feat"))
     met = scores.crossJoin(rows).withColumn("a", F.exp(cos / temperature))  # the queue's fixed size bounds this
     s = met.groupBy("id").agg(F.sum("a").alias("t"), *[F.sum(F.col("a") * F.col("q")[c]).alias(f"_{c}") for c in range(n_classes)])

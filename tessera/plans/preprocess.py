@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.seeds import fingerprint, step_seed
 from tessera.operators import augment, edges, features
+from tessera.plans.cache import StepCache
 
 
 class PlanError(ValueError):
@@ -129,9 +130,13 @@ class Prepared:
     fingerprint: str
 
 
-def preprocess(df: DataFrame, plan: PreprocessPlan, fit_rows: Callable[[DataFrame], DataFrame] | None = None, seed: int = 0, modality: str = "tabular") -> Prepared:
-    """fit_rows picks, of any state of the data, the rows that steps may fit on (SURVEY: fit scope)."""
-    applied, skipped, print_ = [], {}, "raw"
+def preprocess(df: DataFrame, plan: PreprocessPlan, fit_rows: Callable[[DataFrame], DataFrame] | None = None, seed: int = 0, modality: str = "tabular", cache: StepCache | None = None, origin: str = "raw") -> Prepared:
+    """fit_rows picks, of any state of the data, the rows that steps may fit on (SURVEY: fit scope).
+
+    With a cache, the output of each step is kept by the fingerprint of the data's origin and of all steps up to it; what
+    is found there is neither fitted nor applied again.
+    """
+    applied, skipped, print_ = [], {}, origin
     for i, step in enumerate(plan.steps):
         kind = STEPS[step.id]
         name = f"{i}:{step.id}"
@@ -150,7 +155,8 @@ def preprocess(df: DataFrame, plan: PreprocessPlan, fit_rows: Callable[[DataFram
         else:
             own = step_seed(seed, i, step.id)
             print_ = fingerprint({"before": print_, "step": step.id, "params": step.params, "seed": own})
-            df = kind.f(df, fit_rows(df) if kind.fits else None, own, step.params)
+            make = lambda kind=kind, df=df, own=own, step=step: kind.f(df, fit_rows(df) if kind.fits else None, own, step.params)
+            df = make() if cache is None else cache(print_, make)
             applied.append(name)
     if plan.output_key not in ("x", None) and plan.output_key in df.columns:
         df = df.withColumn("x", F.col(plan.output_key))

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from tessera.functions.seeds import fingerprint
 from tessera.operators import classifiers, deep, edges, metrics, propagate, sampling, selflabel, small, views
 from tessera.operators.augment import weak_and_strong
+from tessera.plans.cache import StepCache
 from tessera.plans.hpo import Space, patched, search
+from tessera.plans.limits import clipped
 from tessera.plans.preprocess import PreprocessPlan, preprocess
 from tessera.sources.catalog import load_dataset
 
@@ -39,7 +41,7 @@ NEEDED = ("run", "dataset", "sampling", "preprocess", "method", "evaluation")
 
 
 def expand(node: Any, env: dict[str, str] | None = None) -> Any:
-    """${VAR} from the environment; a missing one is an error."""
+    """${VAR} and $VAR from the environment; a missing one is an error, and $$ is a dollar."""
     env = dict(os.environ) if env is None else env
     if isinstance(node, dict):
         return {k: expand(v, env) for k, v in node.items()}
@@ -49,11 +51,14 @@ def expand(node: Any, env: dict[str, str] | None = None) -> Any:
         return node
 
     def of(m: re.Match) -> str:
-        if m[1] not in env:
-            raise ConfigError(f"variable {m[1]} is not set")
-        return env[m[1]]
+        name = m[1] or m[2]
+        if name is None:
+            return "$"
+        if name not in env:
+            raise ConfigError(f"variable {name} is not set")
+        return env[name]
 
-    return re.sub(r"\$\{(\w+)\}", of, node)
+    return re.sub(r"\$(?:\{(\w+)\}|([A-Za-z_]\w*)|\$)", of, node)
 
 
 def validated(config: dict) -> dict:
@@ -73,6 +78,9 @@ def validated(config: dict) -> dict:
         raise ConfigError(f"unknown metrics {sorted(unknown)}")
     if config["method"]["kind"] == "transductive" and config["method"]["id"] not in ("tsvm",) and not config.get("graph", {}).get("enabled", "graph" in config):
         raise ConfigError("transductive methods need a graph")
+    for s in ("preprocess", "graph"):
+        if config.get(s, {}).get("cache") and not config[s].get("cache_dir"):
+            raise ConfigError(f"{s}.cache needs {s}.cache_dir")
     if config["run"].get("benchmark_mode"):
         strict(config)
     return config
@@ -94,6 +102,15 @@ def strict(config: dict) -> None:
         faults.append("no report_splits")
     if not config["run"].get("fail_fast"):
         faults.append("no fail_fast")
+    if not config["dataset"].get("cache_dir"):
+        faults.append("no dataset.cache_dir")
+    search_ = config.get("search", {})
+    if search_.get("enabled"):
+        chosen = config["evaluation"].get("split_for_model_selection")
+        if not chosen:
+            faults.append("no split_for_model_selection")
+        if "test" in (chosen, search_.get("split")):
+            faults.append("models selected on the test split")
     if faults:
         raise ConfigError("not for a benchmark: " + ", ".join(faults))
 
@@ -109,7 +126,7 @@ def sampling_plan(d: dict) -> sampling.SamplingPlan:
 
 
 def graph_spec(d: dict) -> edges.GraphSpec:
-    d = {k: v for k, v in d.items() if k not in ("backend", "chunk_size", "feature_field", "cache")}
+    d = {("block_rows" if k == "chunk_size" else k): v for k, v in d.items() if k not in ("backend", "feature_field", "cache")}
     w = d.pop("weights", {})
     w = {"kind": w} if isinstance(w, str) else w
     return edges.GraphSpec.from_dict({**d, **({"weights": w["kind"]} if "kind" in w else {}), **({"sigma": w["sigma"]} if "sigma" in w else {})})
@@ -204,7 +221,9 @@ def prepare(spark: SparkSession, config: dict) -> dict[str, Any]:
     nodes = propagate.cut(nodes)
     assignment = propagate.cut(sampling.sample(nodes, plan, "y", config["sampling"].get("seed", seed), official=official))
     scope = config["preprocess"].get("fit_on", "train_labeled")
-    ready = preprocess(nodes, PreprocessPlan.from_dict(config["preprocess"].get("plan", {})), lambda df: sampling.fit_scope(df, assignment, scope), config["preprocess"].get("seed", seed), config["dataset"].get("options", {}).get("modality", "tabular"))
+    kept = StepCache(spark, config["preprocess"]["cache_dir"]) if config["preprocess"].get("cache") else None
+    origin = fingerprint({"dataset": config["dataset"], "sampling": config["sampling"], "seed": seed, "fit_on": scope})
+    ready = preprocess(nodes, PreprocessPlan.from_dict(config["preprocess"].get("plan", {})), lambda df: sampling.fit_scope(df, assignment, scope), config["preprocess"].get("seed", seed), (config["dataset"].get("options") or {}).get("modality", "tabular"), kept, origin)
     rows = propagate.cut(ready.data.select("id", "x"))
     width = rows.select(F.size("x").alias("n")).first()["n"]
     n_classes = int(assignment.agg(F.max("y").alias("m")).first()["m"]) + 1
@@ -215,9 +234,15 @@ def prepare(spark: SparkSession, config: dict) -> dict[str, Any]:
         listed = [views.View(**v) for v in config.get("views", {}).get("plan", {}).get("views", [])] or views.two_views()
         chosen = views.resolve(listed, width, config.get("views", {}).get("seed", seed))
         both = dict(zip(("view_a", "view_b"), list(chosen.values())[:2], strict=True))
-        ctx |= {"chosen": chosen, "row_views": views.with_views(rows, both), "labelled_views": views.with_views(labelled, both), "pool_views": views.with_views(pool, both)}
+        of = lambda name, df: views.with_views(df, both) if kept is None else kept(fingerprint({"rows": ready.fingerprint, "views": chosen, "of": name}), lambda: views.with_views(df, both))
+        ctx |= {"chosen": chosen, "row_views": of("rows", rows), "labelled_views": of("labelled", labelled), "pool_views": of("pool", pool)}
     if config.get("graph", {}).get("enabled", "graph" in config):
-        ctx["edges"] = propagate.cut(data["edges"] if "edges" in data else edges.build_graph(rows.join(assignment.select("id"), "id"), graph_spec(config["graph"].get("spec", {}))))
+        spec = graph_spec(config["graph"].get("spec", {}))
+        make = lambda: data["edges"] if "edges" in data else edges.build_graph(rows.join(assignment.select("id"), "id"), spec)
+        if config["graph"].get("cache"):
+            ctx["edges"] = StepCache(spark, config["graph"]["cache_dir"])(fingerprint({"rows": ready.fingerprint, "graph": spec.fingerprint()}), make)
+        else:
+            ctx["edges"] = propagate.cut(make())
     if config["method"]["id"] in {*deep.RULES, "deep_co_training"}:
         a = config.get("augmentation", {})
         steps = lambda k, d: [(s["id"], s.get("params", {})) for s in a.get(k, {}).get("steps", [])] or d
@@ -244,7 +269,7 @@ def measure(ctx: dict, scores: DataFrame, config: dict) -> dict[str, dict[str, f
 def run_one(spark: SparkSession, config: dict, out_dir: str | None = None) -> dict:
     """The report of one seed; a failure is reported too, and raised if fail_fast asks for it."""
     started = datetime.now(UTC).isoformat()
-    config = validated(expand(config))
+    config = clipped(validated(expand(config)))
     report = {"run": {"name": config["run"].get("name", "run"), "seed": config["run"].get("seed", 0), "run_id": fingerprint(config)[:16], "started_at": started}, "config": config, "metrics": None, "hpo": None, "error": None}
     try:
         ctx = prepare(spark, config)
@@ -252,7 +277,7 @@ def run_one(spark: SparkSession, config: dict, out_dir: str | None = None) -> di
         if s.get("enabled"):
             def score(patch: dict, seed: int) -> float:
                 tried = patched(config, patch)
-                return measure(ctx, fit_and_score(ctx, tried), tried).get(s.get("split", "val"), {}).get(s.get("metric", "accuracy"), float("nan"))
+                return measure(ctx, fit_and_score(ctx, tried), tried).get(s.get("split") or config["evaluation"].get("split_for_model_selection") or "val", {}).get(s.get("metric", "accuracy"), float("nan"))
 
             report["hpo"] = search(Space(s["space"]), score, s.get("kind", "grid"), s.get("n_trials", 10), s.get("seed", 0), s.get("repeats", 1))
             if report["hpo"]["best"]:

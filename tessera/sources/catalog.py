@@ -125,8 +125,8 @@ def _split(df: DataFrame, o: dict) -> DataFrame:
     if column is None:
         return df.withColumn("split", F.lit("train"))
     order = ["test", "validation"] if o.get("prefer_test_split", True) else ["validation", "test"]
-    there = {r["s"] for r in df.select(F.col(column).alias("s")).distinct().limit(100).collect()}
-    test = next((s for s in order if s in there), None)
+    there = df.agg(*[F.coalesce(F.max(F.col(column) == s), F.lit(False)).alias(s) for s in order]).first()
+    test = next((s for s in order if there[s]), None)
     return df.withColumn("split", F.when(F.col(column) == test, "test").when(F.col(column) == "train", "train") if test else F.when(F.col(column) == "train", "train")).filter("split is not null")
 
 

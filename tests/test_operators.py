@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import seeds
 from tessera.operators import augment, classifiers, deep, edges, features, metrics, propagate, sampling, selflabel, similarity, small, thresholds, views, walks
-from tessera.plans import hpo, preprocess, run
+from tessera.plans import cache, hpo, limits, preprocess, run
 from tessera.sources import catalog, store
 
 
@@ -361,8 +361,64 @@ def test_configurations(monkeypatch):
     for bad in ({**CONFIG, "extra": {}}, {**CONFIG, "method": {"kind": "transductive", "id": "nope"}}, {**CONFIG, "run": {"benchmark_mode": True}}, {k: v for k, v in CONFIG.items() if k != "run"}):
         with pytest.raises(run.ConfigError):
             run.validated(bad)
-    with pytest.raises(run.ConfigError):
-        run.expand("${NOT_SET_AT_ALL}")
+    assert run.expand("$SOME_DIR/z $$5") == "/x/z $5"
+    for missing in ("${NOT_SET_AT_ALL}", "$NOT_SET_AT_ALL"):
+        with pytest.raises(run.ConfigError):
+            run.expand(missing)
+    with pytest.raises(run.ConfigError, match="cache_dir"):
+        run.validated({**CONFIG, "graph": {**CONFIG["graph"], "cache": True}})
+    whole = {**CONFIG, "run": {"benchmark_mode": True, "fail_fast": True}, "dataset": {"id": "toy", "download": False, "cache_dir": "/c"}}
+    run.validated(whole)
+    picked = {"enabled": True, "space": {"method": {"params": {"max_iter": [1, 2]}}}}
+    for more in ({"search": picked}, {"search": {**picked, "split": "test"}, "evaluation": {**CONFIG["evaluation"], "split_for_model_selection": "val"}}, {"dataset": {"id": "toy", "download": False}}):
+        with pytest.raises(run.ConfigError):
+            run.validated({**whole, **more})
+
+
+def test_memory_limits():
+    wide = {**CONFIG, "limits": {"profile": "v100", "max_rows": 50}, "dataset": {"id": "toy", "options": {"limit": 80}}, "graph": {"spec": {"k": 5, "chunk_size": 4096}}, "method": {"kind": "inductive", "id": "supervised", "params": {"batch_size": 1000, "classifier_params": {"batch_size": 8}}}}
+    got = limits.clipped(wide)
+    assert got["method"]["params"] == {"batch_size": 128, "classifier_params": {"batch_size": 8}} and got["graph"]["spec"] == {"k": 5, "chunk_size": 512} and got["dataset"]["options"] == {"limit": 50}
+    assert wide["graph"]["spec"]["chunk_size"] == 4096 and run.graph_spec(got["graph"]["spec"]).block_rows == 512
+    assert limits.clipped(CONFIG) == CONFIG
+    with pytest.raises(ValueError):
+        limits.clipped({**CONFIG, "limits": {"profile": "none such"}})
+
+
+def test_steps_are_cached(spark, tmp_path):
+    config = {**CONFIG, "preprocess": {"fit_on": "train", "cache": True, "cache_dir": f"{tmp_path}/p", "plan": {"steps": [{"id": "core.ensure_2d"}, {"id": "tabular.standard_scaler"}]}}, "graph": {**CONFIG["graph"], "cache": True, "cache_dir": f"{tmp_path}/g"}}
+    first = run.run_one(spark, config)
+    assert first["run"]["status"] == "success", first["error"]
+    made = sorted(x.name for x in [*(tmp_path / "p").iterdir(), *(tmp_path / "g").iterdir()])
+    assert len(made) == 3
+    assert run.run_one(spark, config)["metrics"] == first["metrics"] and sorted(x.name for x in [*(tmp_path / "p").iterdir(), *(tmp_path / "g").iterdir()]) == made
+    cut_off = cache.StepCache(spark, f"{tmp_path}/p")
+    (tmp_path / "p" / made[0] / "_SUCCESS").unlink(missing_ok=True)
+    (tmp_path / "p" / made[1] / "_SUCCESS").unlink(missing_ok=True)
+    keys = [x.name for x in (tmp_path / "p").iterdir() if not (x / "_SUCCESS").exists()]
+    assert keys and not cut_off.whole(keys[0]) and cut_off(keys[0], lambda: spark.range(3)).count() == 3 and (cut_off.hits, cut_off.misses) == (0, 1)
+    assert cut_off(keys[0], lambda: None).count() == 3 and cut_off.hits == 1
+
+
+def test_co_training_scores_both_views(spark):
+    class Fixed:
+        def __init__(self, row):
+            self.row = row
+
+        def scores(self, rows):
+            return rows.select("id", F.array(*[F.lit(v) for v in self.row]).alias("x"))
+
+    class Turns:
+        def __init__(self):
+            self.given = iter([[0.9, 0.1], [0.2, 0.8]] * 10)
+
+        def fit(self, rows, n_classes):
+            return Fixed(next(self.given))
+
+    both = frame(spark, [(i, [0.0], [1.0], i % 2) for i in range(4)], "id long, view_a array<double>, view_b array<double>, y int")
+    ctx = {"labelled_views": both, "pool_views": both.drop("y").limit(0), "row_views": both.drop("y"), "n_classes": 2, "base": Turns()}
+    got = [r["x"] for r in run._co(ctx, {"rounds": 0}).collect()]
+    assert len(got) == 4 and all(abs(x[0] - 0.55) < 1e-9 and abs(x[1] - 0.45) < 1e-9 for x in got)
 
 
 def test_command_line(capsys):
