@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +69,26 @@ def _remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _of_one_file_table(df: DataFrame) -> bool:
+    """Whether df is the rows of files, each once: columns chosen and rows filtered, nothing else."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.deterministic() and plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().apply(0)
+    return plan.deterministic() and plan.nodeName() == "LogicalRelation"
+
+
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with a column that tells its rows apart and stays when they are read again.
+
+    Rows of Parquet files have their file and their place in it; those of other tables are numbered and written first.
+    """
+    if _of_one_file_table(df):
+        with contextlib.suppress(AnalysisException):  # files of other kinds have no places
+            at = df.metadataColumn("_metadata")
+            return df.withColumn(column, F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("place")))
+    return stored(df.withColumn(column, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place"))), name)
+
+
 _held: dict[object, object] = {}
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, buckets_for, few, ranked, stored
+from tessera.llm.common import WORD, buckets_for, numbered, ranked, stored
 
 BLOCK_TOKENS = 1024
 #: Words of a partition of the mix.
@@ -142,12 +142,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Rows come in the order in which the schedule visits them: any stretch of the partitions written is mixed nearly as
     the whole. Documents without words are left out: the mix takes nothing of them.
     """
-    rows = stored(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")  # once written, the numbers stay
+    rows = numbered(docs, "_mix_row", "mix-rows")
     taken = mix(rows, id_col="_mix_row", shuffled_by=docs.columns, weight_of=cycle_521, **options)
     due = taken.filter("size > 0").select(F.col("id").alias("_mix_id"), "size", F.explode("passes").alias("p"))
     due = stored(due.filter("2 * p.words >= size").select("_mix_id", F.col("size").alias("_mix_size"), F.col("p.slot").alias("_mix_slot")), "mix-due")
     all_ = due.agg(F.sum("_mix_size").alias("words"), F.max("_mix_slot").alias("top")).first()
     parts = -(-(all_["words"] or 1) // FILE_WORDS)
     place = F.floor(F.col("_mix_slot") * parts / ((all_["top"] or 0) + 1)).cast("int")  # slots are spread evenly
-    met = rows.join(few(due), F.col("_mix_row") == F.col("_mix_id"))
+    met = rows.join(due, F.col("_mix_row") == F.col("_mix_id"))
     return met.repartitionById(parts, place).sortWithinPartitions("_mix_slot", "_mix_row").select(*docs.columns)

@@ -26,7 +26,7 @@ from tessera.llm.common import buckets_for, held, ranked, stored
 
 CAPACITY, END = 4096, 1
 #: Words whose ids a worker remembers, twice at most.
-WORDS = 200_000
+WORDS = 400_000
 #: Bytes tokenized at a time.
 CHUNK = 1 << 21
 #: Words handed to the tokenizer at a time: what it keeps of a text is many times the text.

@@ -23,11 +23,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from tessera.llm.common import few, forget, stored
+from tessera.llm.common import few, forget, numbered, stored
 from tessera.llm.graph import components
 
 SEED = 42
@@ -36,7 +36,7 @@ PAIRS, STEP = 1 << 15, 8
 #: Shingles whose bits are counted, and texts that are read, at a time.
 SHINGLES, AT_ONCE = 4096, 1024
 #: Fingerprints of one key above which they are cut into tiles.
-TILE = 1 << 14
+TILE = 1 << 9
 
 
 def exact_bands(bits: int, radius: int) -> list[list[int]]:
@@ -204,13 +204,18 @@ def banded(unique: DataFrame, bands: list[list[int]]) -> DataFrame:
     return unique.select("c", "fp").mapInArrow(dealt, "key long, c long")
 
 
+def _tiles(n: Column) -> Column:
+    """As many tiles as keep both a tile and the copies of a row few: each row goes to all tiles."""
+    return F.when(n > TILE, F.ceil(F.sqrt(n / 64))).otherwise(1).cast("int")
+
+
 def links(keyed: DataFrame, unique: DataFrame, radius: int) -> DataFrame:
     """A forest (u, v) of the links among the numbers (c) that share a key; unique has the fingerprint (fp) of each number.
 
     Keys that only one number has are dropped before fingerprints travel. A key with more than TILE numbers is cut into
     tiles, and pairs of tiles are dealt to tasks.
     """
-    shared = keyed.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"), F.min("c").alias("a"), F.max("c").alias("z")).filter("a <> z")
+    shared = keyed.groupBy(F.col("key").alias("k")).agg(_tiles(F.count(F.lit(1))).alias("tiles"), F.min("c").alias("a"), F.max("c").alias("z")).filter("a <> z")
     met = keyed.join(shared.select("k", "tiles"), F.col("key") == F.col("k")).select("key", "c", "tiles")
     met = met.join(unique.select(F.col("c").alias("u"), "fp"), F.col("c") == F.col("u"))
     met = met.withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -310,7 +315,7 @@ def verified_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
 
 
 def similar_sets(rows: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """(class, best) of each distinct set of five-word shingles of rows (`_row`: a stored number): classes by links of a Jaccard similarity of 0.8 or more; best: none, id, row of the set's row with the least id (null: last).
+    """(class, best) of each distinct set of five-word shingles of rows (`_row` tells them apart): classes by links of a Jaccard similarity of 0.8 or more; best: none, id, row of the set's row with the least id (null: last).
 
     Candidates share a band of least hashes and have fingerprints within WIDE_RADIUS, compared bit-sliced; whatever they
     lead to is one group, and all pairs of a group are verified on their sets, which travel once (a large group's: once a
@@ -378,11 +383,11 @@ def similar_sets(rows: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near copies (five-word shingles, Jaccard similarity 0.8 or more, and what such links lead to): of each group the row with the least id stays (null: last).
 
-    Rows are dropped by a number of their own: unlike texts with one id, or with none, all stay. Texts without a word are
+    Rows are dropped by a key of their own: unlike texts with one id, or with none, all stay. Texts without a word are
     no copies of each other: they all stay.
     """
     has = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    full = stored(docs.filter(has).withColumn("_row", F.monotonically_increasing_id()), "rows")  # once written, the numbers stay
+    full = numbered(docs.filter(has), "_row", "rows")
     similar = similar_sets(full, id_col=id_col, text_col=text_col)
     kept = similar.groupBy("class").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_kept"))
     return full.join(few(stored(kept, "kept")), F.col("_row") == F.col("_kept"), "left_semi").drop("_row").unionByName(docs.filter(~has))
