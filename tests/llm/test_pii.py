@@ -1,4 +1,6 @@
 import datetime
+import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -95,3 +97,114 @@ def test_numbers_beside_cards_and_phones(spark):
     want = [new, f"{new} 123", f"{shown} 12", f"{new} 12/25", f"2 {new}", f"1234 {shown} 9", f"{new} {new}", f"{new} " + moved[1:4] + "-" + moved[6:], f"7 {new}-1", got[9]["text"], f"{got[9]['text']} 20 people", f"20 {got[9]['text']} 4000", moved.replace(" ", ""), got[13]["text"], got[13]["text"] + " 20"]
     assert [got[k]["text"] for k in range(len(texts))] == want
     assert got[6]["n_card"] == 2 and got[7]["n_card"] == got[7]["n_phone"] == 1 and got[13]["text"] != texts[13]
+
+
+# a pseudonymiser in plain Python, over the same formats
+
+KEY = "k"
+
+
+def feistel(left, right, a, b, tweak):
+    for i in range(pii.ROUNDS):
+        other, size = (right, a) if i % 2 == 0 else (left, b)
+        digest = hashlib.sha256("|".join(map(str, (KEY, tweak, a, b, i, other))).encode()).hexdigest()
+        shift = int(digest[:15], 16) % size
+        left, right = ((left + shift) % a, right) if i % 2 == 0 else (left, (right + shift) % b)
+    return left, right
+
+
+def permuted(digits, tweak):
+    half = len(digits) // 2
+    left, right = feistel(int(digits[:half]), int(digits[half:]), 10**half, 10 ** (len(digits) - half), tweak)
+    return f"{left:0{half}d}{right:0{len(digits) - half}d}"
+
+
+def refilled(shape, digits):
+    left = iter(digits)
+    return "".join(next(left) if c in "0123456789" else c for c in shape)
+
+
+def plain_card(m):
+    def one(c):
+        body = permuted(re.sub("[^0-9]", "", c)[:-1], "card")
+        return refilled(c, body + next(x for x in "0123456789" if luhn_ok(body + x)))
+
+    ok = lambda c: luhn_ok(re.sub("[^0-9]", "", c))
+    out, at, n = "", 0, 0
+    for p in [i for i, c in enumerate(m) if c.isdigit() and (i == 0 or not m[i - 1].isdigit())]:
+        if p >= at:
+            got = next((x[0] for c in pii.CARDS if (x := re.match(c, m[p:], re.ASCII)) and ok(x[0])), None)
+            if got:
+                out, at, n = out + m[at:p] + one(got), p + len(got), n + 1
+    if n:
+        return out + m[at:], n
+    n = sum(ok(x[0]) for x in re.finditer(pii.ANY_CARD, m, re.ASCII))
+    return re.sub(pii.ANY_CARD, lambda x: one(x[0]) if ok(x[0]) else x[0], m, flags=re.ASCII), n
+
+
+def plain_value(kind, m):
+    """The pseudonym and how many values it holds; none: (m, 0)."""
+    d = re.sub("[^0-9]", "", m)
+    if kind == "card":
+        return plain_card(m)
+    if kind == "email":
+        return "u" + hashlib.sha256(f"{KEY}|email|{m.lower()}".encode()).hexdigest()[:16] + "@example.org", 1
+    if kind == "phone":
+        k = min(10, len(d) - m.startswith("+"))
+        return (refilled(m, d[: len(d) - k] + permuted(d[len(d) - k :], "phone")), 1) if 8 <= len(d) <= 15 else (m, 0)
+    if kind == "ssn":
+        area, group, serial = int(m[:3]), int(m[4:6]), int(m[7:])
+        if not (1 <= area <= 899 and area != 666 and group and serial):
+            return m, 0
+        left, right = feistel((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, 898 * 99, 9999, "ssn")
+        area = left // 99 + 1
+        return f"{area + (area >= 666):03d}-{left % 99 + 1:02d}-{right + 1:04d}", 1
+    if kind == "ip":
+        a, b, c, e = map(int, m.split("."))
+        left, right = feistel(a * 256 + b, c * 256 + e, 65536, 65536, "ip")
+        return f"{left // 256}.{left % 256}.{right // 256}.{right % 256}", 1
+    style = "%m/%d/%Y" if "/" in m else "%d.%m.%Y" if "." in m else "%Y-%m-%d"
+    first = datetime.date.fromisoformat(pii.FIRST_DAY)
+    try:
+        day = (datetime.datetime.strptime(m, style).date() - first).days
+    except ValueError:
+        return m, 0
+    if not 0 <= day < pii.DAYS[0] * pii.DAYS[1]:
+        return m, 0
+    left, right = feistel(day // pii.DAYS[1], day % pii.DAYS[1], *pii.DAYS, "date")
+    return (first + datetime.timedelta(left * pii.DAYS[1] + right)).strftime(style), 1
+
+
+def plain(text):
+    counts = dict.fromkeys(pii.KINDS, 0)
+
+    def made(x):
+        kind = next((k for k in pii.KINDS if re.fullmatch(pii.PATTERNS[k], x[0], re.ASCII)), None)
+        out, n = plain_value(kind, x[0]) if kind else (x[0], 0)
+        if kind:
+            counts[kind] += n
+        return out
+
+    return re.sub("|".join(f"(?:{pii.PATTERNS[k]})" for k in pii.KINDS), made, text or "", flags=re.ASCII), counts
+
+
+def test_whole_texts_as_by_plain_python(spark):
+    rng = random.Random(6)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = rng.choice("3456") + number(14)
+        d = body + next(x for x in "0123456789" if luhn_ok(body + x))
+        return rng.choice([d, " ".join(d[i : i + 4] for i in range(0, 16, 4)), "-".join(d[i : i + 4] for i in range(0, 16, 4))])
+
+    makers = [
+        card, lambda: number(rng.randint(1, 20)), lambda: f"+1 ({number(3)}) {number(3)}-{number(4)}", lambda: f"{number(3)}-{number(2)}-{number(4)}", lambda: ".".join(str(rng.randint(0, 300)) for _ in range(4)),
+        lambda: f"{rng.randint(1890, 2110)}-{rng.randint(1, 13):02d}-{rng.randint(1, 31):02d}", lambda: f"{rng.randint(1, 12):02d}/{rng.randint(1, 31):02d}/{rng.randint(1900, 2099)}", lambda: f"a.b{number(2)}@mail.example.com", lambda: "word", lambda: "é𝔘",
+    ]
+    texts = [*TEXTS, *["".join(rng.choice(makers)() + rng.choice([" ", " ", ", ", ". ", "\n", "/", "-", ""]) for _ in range(rng.randint(1, 30))) for _ in range(300)]]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = run(spark, texts)
+    for i, t in enumerate(texts):
+        want, counts = plain(t)
+        assert (got[i]["text"] or "") == want, t
+        assert {k: got[i][f"n_{k}"] for k in pii.KINDS} == counts, t

@@ -1,5 +1,8 @@
+import math
+import struct
 import zlib
 
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import sharding
@@ -38,3 +41,36 @@ def test_files(spark, tmp_path):
     df = frame(spark)
     sharding.write_shards(df, sharding.tree(4), str(tmp_path / "out"), files_per_shard=2)
     assert spark.read.parquet(str(tmp_path / "out")).count() == df.count()
+
+
+def drawn(key, leaves, seed=17):
+    """The descent for one key: at each node the child with the least exponential draw, by its weight."""
+    text = "\0null" if key is None else str(key)
+
+    def pick(path, children):
+        def time(child):
+            h = 42
+            for part in (struct.pack("<i", seed), f"{path}/{child}".encode(), text.encode()):
+                h = xxhash.xxh64_intdigest(part, h)
+            return -math.log(((h >> 11) + 0.5) / 2**53) / sum(x.weight for x in children[child])
+
+        return min(children, key=lambda c: (time(c), c))
+
+    path, here = "", leaves
+    for level in ("region", "rack", "shard"):
+        children = {}
+        for x in here:
+            children.setdefault(getattr(x, level), []).append(x)
+        best = pick(path, children)
+        path, here = f"{path}/{best}", children[best]
+    return here[0].shard
+
+
+def test_draws_as_by_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(None, "x"), (-5, None)], "doc_id long, text string"))
+    leaves = [sharding.Leaf(x.shard, x.region, x.rack, 1.0 + x.shard % 3) for x in sharding.tree(40)]
+    for tree in (sharding.tree(40), leaves):
+        got = sharding.assign(docs, tree).collect()
+        assert len(got) == docs.count()
+        assert all(r["shard"] == drawn(r["id"], tree) and r["grown_shard"] == drawn(r["id"], sharding.grow(tree)) for r in got)
