@@ -248,7 +248,18 @@ class Student:
                 break
             v = self.momentum * v - self.rate * (g / abs(total) + self.decay * w)
             w = w + v
-        return _Linear(lambda x: x @ w[:-1] + w[-1])
+        return SoftmaxOf(w)
+
+
+@dataclass
+class SoftmaxOf:
+    """A softmax regression by its weights: a row a column of x, and one for the constant."""
+
+    w: np.ndarray
+
+    def scores(self, rows: DataFrame) -> DataFrame:
+        w = self.w
+        return _Linear(lambda x: x @ w[:-1] + w[-1]).scores(rows)
 
 
 def _gradients(w: np.ndarray):

@@ -241,13 +241,53 @@ def test_democratic_figures():
     assert selflabel.worthwhile(10, 0.0, 5, 1.0) == (True, 0.0) and not selflabel.worthwhile(10, 0.0, 5, 0.0)[0]
 
 
-@pytest.mark.parametrize("method", ["fixmatch", "softmatch", "adamatch", "mean_teacher", "comatch", "daso"])
+@pytest.mark.parametrize("method", ["fixmatch", "softmatch", "adamatch", "mean_teacher", "mixmatch", "vat", "comatch", "daso"])
 def test_consistency_training(square, method):
     rows, known, pool = (df.withColumn("x", F.transform("x", lambda v: v - 1.5)) for df in square)  # cosines tell the classes apart about the middle
     model = deep.train(method, known, pool, pool, 2, rounds=1, base=classifiers.Student(steps=8), threshold=0.6)
     assert np.mean([r["p"] == r["id"] % 2 for r in classifiers.predicted(model.scores(rows)).collect()]) >= 0.95
     with pytest.raises(NotImplementedError):
-        deep.train("vat", known, pool, pool, 2)
+        deep.train("simclr_v2", known, pool, pool, 2)
+
+
+def test_adversarial_rows_change_scores_most(spark):
+    rng = np.random.default_rng(4)
+    w = rng.normal(size=(6, 3))
+    x = rng.normal(size=(40, 5))
+    model = classifiers.SoftmaxOf(w)
+    pool = frame(spark, [(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    soft = lambda v: (lambda e: e / e.sum(1, keepdims=True))(np.exp(v @ w[:-1] + w[-1]))
+    got = sorted(deep.adversarial(model, pool, 0.05, 4).collect(), key=lambda r: r["id"])
+    moved, p = np.array([r["x"] for r in got]), soft(x)
+    assert np.allclose(np.linalg.norm(moved - x, axis=1), 0.05) and np.allclose([r["target"] for r in got], p)
+    change = lambda y: (p * np.log(p / soft(y))).sum(1)
+    for _ in range(20):
+        d = rng.normal(size=x.shape)
+        assert (change(moved) >= 0.9 * change(x + 0.05 * d / np.linalg.norm(d, axis=1, keepdims=True))).all()
+
+
+def test_mixup(spark):
+    assert np.allclose(deep.beta_quantiles(1.0), (np.arange(512) + 0.5) / 512, atol=1e-3)
+    draws = np.sort(np.random.default_rng(0).beta(0.75, 0.75, 400_000))
+    assert np.abs(deep.beta_quantiles(0.75) - draws[((np.arange(512) + 0.5) / 512 * 400_000).astype(int)]).max() < 0.01
+    rows = frame(spark, [(i, [float(i), 1.0], [1.0, 0.0] if i % 2 else [0.0, 1.0], 1.0) for i in range(200)], "id long, x array<double>, target array<double>, weight double")
+    got = deep.mixed_up(rows).collect()
+    assert sorted(r["id"] for r in got) == list(range(200)) and all(abs(sum(r["target"]) - 1) < 1e-9 and abs(r["x"][1] - 1) < 1e-9 for r in got)
+    assert all(r["target"][0 if r["id"] % 2 else 1] >= 0.5 for r in got) and sum(abs(r["x"][0] - r["id"]) > 1e-6 for r in got) > 150
+
+
+def test_a_mean_teacher_averages_weights(spark):
+    class Steps:
+        def __init__(self):
+            self.w = iter([np.full((2, 2), float(v)) for v in (0, 3, 6, 9)])
+
+        def fit(self, rows, n_classes):
+            rows.count()
+            return classifiers.SoftmaxOf(next(self.w))
+
+    known = frame(spark, [(0, [1.0], 0), (1, [2.0], 1)], "id long, x array<double>, y int")
+    pool = known.drop("y")
+    assert np.allclose(deep.train("mean_teacher", known, pool, pool, 2, rounds=3, base=Steps()).w, (0 + 3 + 6 + 9) / 4)
 
 
 def test_committees(square):
