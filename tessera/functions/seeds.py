@@ -48,6 +48,11 @@ def uniform(seed: int, salt: str, *parts) -> Column:
     return F.conv(F.substring(ticket(seed, salt, *parts), 1, 8), 16, 10).cast("double") / float(2**32)
 
 
+def drawn(seed: int, salt: str, *parts) -> float:
+    """The driver's twin of uniform, for values that are no columns."""
+    return int(hashlib.md5("|".join(map(str, (seed, salt, *parts))).encode()).hexdigest()[:8], 16) / 2**32
+
+
 def normal(seed: int, salt: str, *parts) -> Column:
     """N(0, 1), by Box and Muller from two tickets."""
     u, v = uniform(seed, salt + "/r", *parts), uniform(seed, salt + "/a", *parts)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.seeds import normal
+from tessera.functions.seeds import drawn, normal
 from tessera.functions.vectors import as_double, dot
 
 MISSING = ["", "?", "nan", "NaN", "NA", "N/A", "null", "None"]
@@ -298,9 +298,10 @@ def fit_whitening(df: DataFrame, eps: float = 1e-5, x: str = "x") -> Linear:
 
 
 def random_projection(df: DataFrame, k: int, seed: int, x: str = "x") -> Linear:
-    """N(0, 1) / sqrt k."""
+    """N(0, 1) / sqrt k, by Box and Muller from draws by place."""
     width = df.select(F.size(x).alias("n")).first()["n"]
-    return Linear(np.zeros(width), np.random.default_rng(seed).normal(size=(width, k)) / math.sqrt(k))
+    u, v = (np.array([[drawn(seed, f"projection/{s}", i, j) for j in range(k)] for i in range(width)]) for s in "ra")
+    return Linear(np.zeros(width), np.sqrt(-2 * np.log(u + 2.0**-33)) * np.cos(2 * np.pi * v) / math.sqrt(k))
 
 
 def stub_embedding(df: DataFrame, c: str, seed: int = 0, size: int = 8, id_col: str = "id", out: str = "embedding") -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.propagate import affinity
+from tessera.operators.propagate import affinity, cut
 
 MAX_NODES, MAX_EDGES, MAX_DENSE = 200_000, 2_000_000, 3_000
 
@@ -115,27 +116,48 @@ def tsvm(nodes: DataFrame, rounds: int = 10, epochs: int = 5, rate: float = 0.1,
     Gradients are sums over tasks; the model is a vector on the driver. Labels of the pool are its signs, and if all
     have one sign, as many of the least sure as the labelled share asks for get the other.
     """
-    rows = nodes.select("id", F.col("x").cast("array<double>").alias("x"), F.when(F.col("y") == 1, 1.0).when(F.col("y") == 0, -1.0).otherwise(0.0).alias("t")).persist()
+    rows = cut(nodes.select("id", F.col("x").cast("array<double>").alias("x"), F.when(F.col("y") == 1, 1.0).when(F.col("y") == 0, -1.0).otherwise(0.0).alias("t")))
     d = rows.select(F.size("x").alias("n")).first()["n"]
     share = rows.filter("t <> 0").agg(F.avg(F.when(F.col("t") > 0, 1.0).otherwise(0.0)).alias("s")).first()["s"]
     if share is None:
         raise ValueError("no labelled row")
     w, b = np.zeros(d), 0.0
-
-    def margins():
-        return rows.withColumn("f", F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in w]), lambda u, v: u * v), F.lit(float(b)), lambda s, v: s + v))
-
     for i in range(rounds + 1):
         c_u = 0.0 if i == 0 else min(c_max, 1e-3 * 10 ** (i - 1))
         cutoff = 0.0
         if c_u and balance:
-            r = margins().filter("t = 0").agg(F.count_if(F.col("f") >= 0).alias("p"), F.count(F.lit(1)).alias("n"), F.percentile_approx("f", max(0.0, 1 - share)).alias("q")).first()
+            r = _margins(rows, w, b).filter("t = 0").agg(F.count_if(F.col("f") >= 0).alias("p"), F.count(F.lit(1)).alias("n"), F.percentile_approx("f", max(0.0, 1 - share)).alias("q")).first()
             cutoff = r["q"] if r["n"] and r["p"] in (0, r["n"]) else 0.0
         for _ in range(epochs):
-            t = F.when(F.col("t") != 0, F.col("t")).when(F.col("f") >= cutoff, 1.0).otherwise(-1.0)
-            got = margins().select("x", t.alias("s"), F.when(F.col("t") != 0, c_l).otherwise(c_u).alias("c"), (t * F.col("f") < 1).alias("in")).filter("in and c > 0")
-            g = got.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("c") * F.col("s")).alias("b"), *[F.avg(F.col("c") * F.col("s") * F.col("x")[k]).alias(str(k)) for k in range(d)]).first()
-            gw = np.array([g[str(k)] or 0.0 for k in range(d)])
-            w, b = w - rate * (l2 * w - gw) / (1 + i), b + rate * (g["b"] or 0.0) / (1 + i)
+            n, gw, gb = 0, np.zeros(d), 0.0
+            for r in rows.select("x", "t").mapInPandas(_hinge(w, b, cutoff, c_l, c_u), "n long, g array<double>, b double").collect():  # a row a task
+                n, gw, gb = n + r["n"], gw + np.array(r["g"]), gb + r["b"]
+            n = max(n, 1)
+            w, b = w - rate * (l2 * w - gw / n) / (1 + i), b + rate * (gb / n) / (1 + i)
     one = F.when(F.col("f") >= 0, 1.0).otherwise(0.0)
-    return margins().select("id", F.array(1.0 - one, one).alias("x"))
+    return _margins(rows, w, b).select("id", F.array(1.0 - one, one).alias("x"))
+
+
+def _margins(rows: DataFrame, w: np.ndarray, b: float) -> DataFrame:
+    @F.pandas_udf("double")
+    def of(x: pd.Series) -> pd.Series:
+        return pd.Series(np.stack(x.to_numpy()) @ w + b) if len(x) else pd.Series([], dtype=float)
+
+    return rows.withColumn("f", of("x"))
+
+
+def _hinge(w: np.ndarray, b: float, cutoff: float, c_l: float, c_u: float):
+    """Sums of the subgradient over the rows inside the margin; rows without a label have the sign of their own margin."""
+
+    def go(batches):
+        n, g, gb = 0, np.zeros(len(w)), 0.0
+        for pdf in batches:
+            if len(pdf):
+                x, t = np.stack(pdf["x"].to_numpy()).astype(float), pdf["t"].to_numpy()
+                f = x @ w + b
+                sign = np.where(t != 0, t, np.where(f >= cutoff, 1.0, -1.0))
+                c = np.where(t != 0, c_l, c_u) * ((sign * f < 1) & (np.where(t != 0, c_l, c_u) > 0)) * sign
+                n, g, gb = n + int(np.count_nonzero(c)), g + c @ x, gb + c.sum()
+        yield pd.DataFrame({"n": [n], "g": [g.tolist()], "b": [float(gb)]})
+
+    return go

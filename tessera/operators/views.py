@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.seeds import drawn
+
 
 @dataclass(frozen=True)
 class View:
@@ -38,7 +39,8 @@ def resolve(views: list[View], width: int, seed: int) -> dict[str, list[int]]:
                 raise ValueError(f"bad indices of view {v.name}")
         elif v.mode == "random":
             k = min(max(round(v.fraction * width), 1), width)
-            got = sorted(map(int, np.random.default_rng(view_seed(seed, v.name, v.seed_offset)).choice(width, k, replace=False)))
+            own = view_seed(seed, v.name, v.seed_offset)
+            got = sorted(sorted(range(width), key=lambda i: (drawn(own, "view", i), i))[:k])
         elif v.mode == "complement":
             if v.of not in out:
                 raise ValueError(f"view {v.name} refers to a later view, or to none")

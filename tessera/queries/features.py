@@ -169,11 +169,8 @@ def _view(spark, d, views):
     return V.with_views(rows, V.resolve(views, 64, SEED))
 
 
-CHOSEN = V.resolve(V.two_views(), 64, SEED)
-
-
-def _picked(slots):
-    return "[" + ", ".join(f"embedding[{i + 1}]" for i in slots) + "]"
+#: The draw itself, in SQL: half of the slots, by least uniform.
+HALF = f"s AS (SELECT i, row_number() OVER (ORDER BY {sql_uniform(V.view_seed(SEED, 'view_a'), 'view', 'i')}, i) <= 32 AS mine FROM (SELECT unnest(range(64)) AS i))"
 
 
 @query("SELECT vec_id AS id, [embedding[1], embedding[6], embedding[64]] AS a, embedding AS b FROM embeddings")
@@ -181,29 +178,78 @@ def view_indices(spark, d):
     return _view(spark, d, [V.View("a", "indices", [5, 0, 63]), V.View("b")]).select("id", "a", "b")
 
 
-@query(f"SELECT vec_id AS id, {_picked(CHOSEN['view_a'])} AS view_a FROM embeddings")
+@query(f"WITH {HALF} SELECT vec_id AS id, list(embedding[i + 1] ORDER BY i) AS view_a FROM embeddings, s WHERE mine GROUP BY 1")
 def view_random(spark, d):
     return _view(spark, d, V.two_views()).select("id", "view_a")
 
 
-@query(f"SELECT vec_id AS id, {_picked(CHOSEN['view_b'])} AS view_b FROM embeddings")
+@query(f"WITH {HALF} SELECT vec_id AS id, list(embedding[i + 1] ORDER BY i) AS view_b FROM embeddings, s WHERE NOT mine GROUP BY 1")
 def view_complement(spark, d):
     return _view(spark, d, V.two_views()).select("id", "view_b")
 
 
-@query()
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+
+
+def _moments(rows, digits):
+    """(i, j, v): covariances of the columns, i <= j."""
+    one = rows.select("id", F.posexplode("x").alias("i", "a"))
+    met = one.join(one.select("id", F.col("i").alias("j"), F.col("a").alias("b")), "id").filter("i <= j")
+    return met.groupBy("i", "j").agg((F.round(F.covar_pop("a", "b"), digits) + F.lit(0.0)).alias("v"))
+
+
+@query("""WITH e AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings), c AS (SELECT id, v - avg(v) OVER (PARTITION BY i) AS v FROM e), n AS (SELECT id, sum(v * v) AS v FROM c GROUP BY 1)
+SELECT 'length' AS kind, id, NULL::INTEGER AS i, NULL::INTEGER AS j, round(v, 6) AS v FROM n UNION ALL SELECT 'covariance', NULL, a.i, b.i, 0.0 FROM (SELECT unnest(range(64))::INTEGER AS i) a JOIN (SELECT unnest(range(64))::INTEGER AS i) b ON a.i < b.i""")
 def pca(spark, d):
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
-    return X.fit_pca(rows, 8).apply(rows)
+    """All directions: lengths from the mean stay, and the new columns are not correlated."""
+    rows = _vectors(spark, d)
+    got = X.fit_pca(rows, 64).apply(rows)
+    lengths = got.select(F.lit("length").alias("kind"), "id", F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("j"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v), 6).alias("v"))
+    return lengths.unionByName(_moments(got, 9).filter("i < j").select(F.lit("covariance").alias("kind"), F.lit(None).cast("long").alias("id"), "i", "j", "v"))
 
 
-@query()
+@query("""WITH e AS MATERIALIZED (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings), c AS (SELECT id, i, v - avg(v) OVER (PARTITION BY i) AS v FROM e)
+SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END AS v FROM (SELECT unnest(range(64)) AS i) a JOIN (SELECT unnest(range(64)) AS i) b ON a.i <= b.i""")
 def zca_whitening(spark, d):
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
-    return X.fit_whitening(rows).apply(rows)
+    """The whitened columns have variance 1 and are not correlated (the floor on the variances aside)."""
+    rows = _vectors(spark, d)
+    return _moments(X.fit_whitening(rows, 1e-9).apply(rows), 5)
 
 
-@query()
+@query(f"""WITH e AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings), m AS (SELECT i, j, sqrt(-2 * ln({sql_uniform(SEED, 'projection/r', 'i', 'j')} + {2.0**-33!r})) * cos(2 * pi() * {sql_uniform(SEED, 'projection/a', 'i', 'j')}) / sqrt(8) AS w FROM (SELECT unnest(range(64)) AS i), (SELECT unnest(range(8)) AS j))
+SELECT id, j::INTEGER AS c, round(sum(v * w), 6) AS f FROM e JOIN m USING (i) GROUP BY 1, 2""")
 def random_projection(spark, d):
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
-    return X.random_projection(rows, 8, SEED).apply(rows)
+    rows = _vectors(spark, d)
+    got = X.random_projection(rows, 8, SEED).apply(rows)
+    return got.select("id", F.posexplode("x").alias("c", "f")).select("id", "c", F.round("f", 6).alias("f"))
+
+
+@query(f"WITH e AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings) SELECT id, round(sum(CASE WHEN {_u('tabular.swap_noise', 0, 0, 'id', 'i')} < 0.15 THEN {_n('tabular.swap_noise', 0, 0, 'id', 'i + 100000')} ELSE v END), 5) AS s FROM e GROUP BY 1")
+def swap_noise(spark, d):
+    got = A.augmented(_vectors(spark, d), "x", [("tabular.swap_noise", {})], SEED)
+    return got.select("id", F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 5).alias("s"))
+
+
+def _u1(op, part):
+    return sql_uniform(SEED, f"0:{op}/0", "id", f"'{part}'")
+
+
+SWAP = "[CASE WHEN k = a THEN w[b + 1] WHEN k = b THEN w[a + 1] ELSE w[k + 1] END FOR k IN range(len(w))]"
+
+
+@query(f"WITH t AS (SELECT item_id AS id, text, list_filter(regexp_split_to_array(text, '[\\s\\p{{Z}}]+'), lambda w: w <> '') AS w FROM benchmark), p AS (SELECT *, CAST(floor({_u1('text.random_swap', 'a0')} * len(w)) AS BIGINT) AS a, CAST(floor({_u1('text.random_swap', 'b0')} * len(w)) AS BIGINT) AS b FROM t) SELECT id, CASE WHEN len(w) < 2 THEN text ELSE array_to_string({SWAP}, ' ') END AS text FROM p")
+def random_swap(spark, d):
+    return A.augmented(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), "text", [("text.random_swap", {})], SEED)
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, list_slice({W}, 1, 64) AS w0 FROM documents), k AS (SELECT id, len(w0) AS m, list_resize([CAST('0x' || substr(md5(v), 1, 8) AS BIGINT) % 29998 + 2 FOR v IN w0], 64, 0) AS w FROM t),
+p AS (SELECT *, CAST(floor({_u1('text.token_swap', 'a0')} * m) AS BIGINT) AS a, CAST(floor({_u1('text.token_swap', 'b0')} * (m - 1)) AS BIGINT) AS s FROM k), q AS (SELECT id, m, w, a, (a + 1 + s) % greatest(m, 1) AS b FROM p) SELECT id, CASE WHEN m >= 2 THEN {SWAP} ELSE w END AS input_ids FROM q""")
+def token_swap(spark, d):
+    rows = X.hash_tokenized(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "text", 64)
+    return A.augmented(rows, "input_ids", [("text.token_swap", {})], SEED).select("id", "input_ids")
+
+
+@query(f"WITH t AS (SELECT id, embedding AS x, (CAST(floor((2 * {_u1('audio.time_shift', 'shift')} - 1) * 0.1 * 64) AS BIGINT) + 64) % 64 AS turn FROM (SELECT vec_id AS id, embedding FROM embeddings)) SELECT id, [x[(k - turn + 64) % 64 + 1] FOR k IN range(64)] AS x FROM t")
+def time_shift(spark, d):
+    return A.augmented(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x")), "x", [("audio.time_shift", {})], SEED)

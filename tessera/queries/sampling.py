@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.functions.seeds import sql_ticket, sql_uniform, uniform
+from tessera.functions.seeds import part_seed, sql_ticket, sql_uniform, uniform
 from tessera.operators import metrics as M
 from tessera.operators import sampling as S
 from tessera.queries import query, table
@@ -180,3 +180,19 @@ def sweep_aggregate(spark, d):
     runs = table(spark, d, "events").groupBy((F.col("user_id") % 5).alias("seed"), F.col("event_type").alias("split")).agg(F.avg("value").alias("value"))
     runs = runs.withColumns({"metric": F.lit("value"), "status": F.when(F.col("seed") == 3, "failed").otherwise("success")})
     return M.seed_sweep(runs).select("split", "metric", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+FIXED = [1, 2, 3, 5, 8, 13, 21, 34, 55, 89]
+
+
+@query(f"SELECT vec_id AS id, label AS y, vec_id IN {tuple(FIXED)} AS is_labelled FROM embeddings")
+def fixed_labels(spark, d):
+    return S.fixed_labelled(_nodes(spark, d), FIXED)
+
+
+@query(f"""WITH t AS (SELECT *, CASE id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS part FROM ({NODES})), k AS (SELECT *, row_number() OVER (PARTITION BY part, y ORDER BY {sql_ticket(part_seed(SEED, 'label'), 'label', 'id')}, id) AS k FROM t)
+SELECT id, y, part, part = 'train' AND k <= 4 AS is_labelled FROM k""")
+def graph_sample_masks(spark, d):
+    nodes = _nodes(spark, d).withColumns({"tr": F.col("id") % 3 == 0, "va": F.col("id") % 3 == 1, "te": F.col("id") % 3 == 2})
+    plan = S.SamplingPlan(labelling=S.Labelling("per_class", 4))
+    return S.graph_sample(nodes, plan, "y", SEED, masks={"train": "tr", "val": "va", "test": "te"})

@@ -58,6 +58,28 @@ def gaussian_nb(spark, d):
     return _r(C.predicted(C.GaussianNB().fit(rows.filter("is_labelled"), 10).scores(rows.filter("not is_labelled"))).select("id", "p", "conf"), "conf")
 
 
+COUNTED = """, e AS MATERIALIZED (SELECT n.id, l.known, l.y, {value} AS v, i FROM (SELECT id, unnest(x) AS v0, unnest(range(64)) AS i FROM n) n JOIN l USING (id)),
+pc AS MATERIALIZED (SELECT y, ln(count(*) / (SELECT count(*) FROM l WHERE known)::DOUBLE) AS prior, count(*) AS nc FROM l WHERE known GROUP BY 1), st AS MATERIALIZED (SELECT y, i, sum(v) AS s FROM e WHERE known GROUP BY 1, 2),
+j AS MATERIALIZED (SELECT e.id, st.y, any_value(prior) + sum({term}) AS s FROM e JOIN (SELECT st.*, prior, nc, sum(s + 1) OVER (PARTITION BY y) AS t FROM st JOIN pc USING (y)) st USING (i) WHERE NOT known GROUP BY 1, 2),
+pr AS MATERIALIZED (SELECT id, y, exp(s - max(s) OVER (PARTITION BY id)) / sum(exp(s)) OVER (PARTITION BY id) * exp(max(s) OVER (PARTITION BY id)) AS w FROM j)
+SELECT id, CAST(y AS INTEGER) AS p, round(w, 6) AS conf FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, y) AS r FROM pr) WHERE r = 1"""
+
+
+def _classified(spark, d, model, value):
+    rows = _nodes(spark, d).withColumn("x", F.transform("x", value))
+    return _r(C.predicted(model.fit(rows.filter("is_labelled"), 10).scores(rows.filter("not is_labelled"))).select("id", "p", "conf"), "conf")
+
+
+@query(f"WITH {LAB}" + COUNTED.format(value="abs(n.v0)", term="v * ln((st.s + 1) / t)"))
+def multinomial_nb(spark, d):
+    return _classified(spark, d, C.MultinomialNB(), lambda v: F.abs(v))
+
+
+@query(f"WITH {LAB}" + COUNTED.format(value="CASE WHEN n.v0 > 0 THEN 1.0 ELSE 0.0 END", term="CASE WHEN v > 0 THEN ln((st.s + 1) / (nc + 2)) ELSE ln(1 - (st.s + 1) / (nc + 2)) END"))
+def bernoulli_nb(spark, d):
+    return _classified(spark, d, C.BernoulliNB(), lambda v: v)
+
+
 @query(f"WITH {LAB}{NB}, b AS (SELECT id, CAST(y AS INTEGER) AS p, w AS conf FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, y) AS r FROM pr) WHERE r = 1 AND w >= 0.95) SELECT id, p FROM b")
 def pseudo_label_round(spark, d):
     rows = _nodes(spark, d)
