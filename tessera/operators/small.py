@@ -1,17 +1,20 @@
-"""Methods that work on a whole small problem: it is fetched behind a check of its size, else refused."""
+"""Methods that work on a whole problem: a cut is fetched behind a check of its size, else refused; dynamic
+label propagation needs memory for the edges and a few states alone, at any size."""
 
 from __future__ import annotations
 
 from collections import deque
+from tempfile import TemporaryFile
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.propagate import affinity, cut
+from tessera.operators.local import Sparse, fetched, framed, placed
+from tessera.operators.propagate import affinity, cut, drop
 
-MAX_NODES, MAX_EDGES, MAX_DENSE = 200_000, 2_000_000, 3_000
+MAX_NODES, MAX_EDGES = 200_000, 2_000_000
 
 
 def _fetch(edges: DataFrame, labels: DataFrame, most: int = MAX_NODES) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,32 +85,80 @@ def graph_mincut(edges: DataFrame, labels: DataFrame, scale: float = 1000.0, lea
     return _frame(labels, ids, np.stack([1 - side, side], axis=1))
 
 
+def _local(edges: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids ascending, their classes, and (row, column, weight) of the edges by row and column, in numpy: 24 bytes an edge, fetched in parts."""
+    nodes = cut(labels.select(F.col("id").cast("long").alias("id"), F.col("y").cast("long").alias("y")))
+    ids, y = fetched(nodes, "id")
+    order = np.argsort(ids, kind="stable")
+    ids, y = ids[order], y[order]
+    found = cut(edges.select(F.col("dst").cast("long").alias("dst"), F.col("src").cast("long").alias("src"), F.col("w").cast("double").alias("w")))
+    dst, src, w = fetched(found, "dst")
+    dst, src = placed(ids, dst), placed(ids, src)
+    order = np.lexsort((src, dst))
+    drop(nodes)
+    drop(found)
+    return ids, y, dst[order], src[order], w[order]
+
+
+class _Pile:
+    """Arrays of one shape on a file of the driver, the last on top: what a method looks back at needs no memory."""
+
+    def __init__(self, shape: tuple[int, int]) -> None:
+        self.shape, self.file = shape, TemporaryFile()  # noqa: SIM115
+
+    def put(self, at: int, x: np.ndarray) -> None:
+        self.file.seek(at * x.nbytes)
+        self.file.write(np.ascontiguousarray(x).data)
+
+    def get(self, at: int) -> np.ndarray:
+        self.file.seek(at * 8 * self.shape[0] * self.shape[1])
+        return np.fromfile(self.file, float, self.shape[0] * self.shape[1]).reshape(self.shape)
+
+
 def dynamic_label_propagation(edges: DataFrame, labels: DataFrame, n_classes: int, k: int = 10, alpha: float = 0.05, lam: float = 0.1, steps: int = 30) -> DataFrame:
     """Y <- P_t Y with clamp; P_t <- P (P_t + alpha Y Y') P' + lam I, P keeping the k greatest entries of a row.
 
     Rows of Y are divided by their sums, and P_t by its greatest row sum where that exceeds 1: else Y Y' grows without bound.
+
+    P_t is dense and never made. Its product with a few columns unrolls to products with P', down to P_0, and with P up
+    again; one more column gives its row sums. This takes steps^2 sparse products with n_classes + 1 columns on the
+    driver, which holds the edges and a few states; the states looked back at lie on a file.
     """
-    ids, y, src, dst, w = _fetch(affinity(edges), labels, MAX_DENSE)
-    a = np.zeros((len(ids), len(ids)))
-    np.add.at(a, (dst, src), w)
-    deg = a.sum(1)
+    ids, y, row, col, w = _local(affinity(edges), labels)
+    n = len(ids)
+    deg = np.bincount(row, w, n)
     if (deg <= 0).any():
         raise ValueError("isolated nodes")
-    p0 = a / deg[:, None]
-    order = np.argsort(-p0, axis=1, kind="stable")[:, :k]
-    p = np.zeros_like(p0)
-    np.put_along_axis(p, order, np.take_along_axis(p0, order, axis=1), axis=1)
-    p /= np.maximum(p.sum(1, keepdims=True), 1e-12)
+    w = w / deg[row]
+    p0 = Sparse(row, col, w, n)
+    order = np.lexsort((col, -w, row))
+    kept = order[np.arange(len(order)) - p0.starts[row] < k]
+    row, col, w = row[kept], col[kept], w[kept]
+    w = w / np.maximum(np.bincount(row, w, n), 1e-12)[row]
+    p, back = Sparse(row, col, w, n), Sparse(col, row, w, n)
     y0 = (y[:, None] == np.arange(n_classes)).astype(float)
-    f, pt, known = y0.copy(), p0, y >= 0
-    for _ in range(steps):
-        new = pt @ f
+    f, known, most = y0.copy(), y >= 0, []
+    past, down = _Pile((n, n_classes)), _Pile((n, n_classes + 1))
+    for t in range(steps):
+        g = np.concatenate([f, np.ones((n, 1))], axis=1)
+        for s in range(t, 0, -1):
+            down.put(s, g)
+            g = back @ g
+        h = p0 @ g
+        for s in range(t):
+            then = past.get(s)
+            h += alpha * (then @ (then.T @ g))
+            g = down.get(s + 1)
+            h = p @ h + lam * g
+            if s == t - 1:
+                most.append(max(1.0, h[:, -1].max()))
+            h /= most[s]
+        new = h[:, :-1]
         new = new / np.maximum(new.sum(1, keepdims=True), 1e-300)
         new[known] = y0[known]
-        pt = p @ (pt + alpha * f @ f.T) @ p.T + lam * np.eye(len(ids))
-        pt /= max(1.0, pt.sum(1).max())
+        past.put(t, f)
         f = new
-    return _frame(labels, ids, f)
+    return framed(labels.sparkSession, ids, f)
 
 
 def tsvm(nodes: DataFrame, rounds: int = 10, epochs: int = 5, rate: float = 0.1, c_l: float = 1.0, c_max: float = 1.0, l2: float = 1.0, balance: bool = True) -> DataFrame:
