@@ -10,8 +10,9 @@ is the least that both have.
 Equal vectors are collapsed first and count with their number. A cell with more than `TILE` vectors is cut into
 tiles, and pairs of tiles are dealt to tasks. Tasks return link counts and a forest of links, never the pairs.
 
-`grid` chooses tables, blocks, probes and scale by the number of vectors. Recall of links at cosine 0.952, simulated:
-0.99 with two blocks, of which 6e-5 of all pairs are candidates; 0.98 with three blocks and 5e-6 of all pairs.
+Tables, blocks, probes and scale are the same for any number of vectors, so that a link does not hang on how many other
+rows there are: two blocks, with a recall of 0.99 of links at cosine 0.952 (simulated) and 6e-5 of all pairs as
+candidates. A caller may give three blocks (`grid` names the parameters): 0.98, and 5e-6 of all pairs.
 
 Nulls: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing and name
 themselves; so do vectors of another length. A null id takes part, but never names a component unless all its ids
@@ -36,10 +37,12 @@ from tessera.llm.simhash import _unite
 TILE = 512
 #: Partners of a row up to which they are gathered pair by pair, and pairs at a time.
 FEW, AT_ONCE = 24, 1 << 14
+#: Cosines of a product of blocks that are as near to the threshold are taken again pair by pair, so that a link does not hang on the size of its cell.
+EDGE = 1e-9
 
 
 def grid(n: int) -> tuple[int, int, int, float]:
-    """tables, blocks, probes, scale for n vectors: above ten million, cells of three blocks keep candidates few."""
+    """tables, blocks, probes, scale that a caller may give for n vectors: above ten million, cells of three blocks keep candidates few. Nothing chooses by it."""
     return (6, 2, 3, 0.65) if n <= 10_000_000 else (8, 3, 4, 0.55)
 
 
@@ -130,14 +133,18 @@ def _pairs(begin: np.ndarray, end: np.ndarray, unit: np.ndarray, least: float) -
         for at in range(0, len(part), 256):  # rows of one cell, one after another
             i = part[at : at + 256]
             low = int(begin[i].min())
-            a, b = np.nonzero(unit[i] @ unit[low : int(end[i[0]])].T >= least)
-            i, j = i[a], b + low
-            i, j = i[j >= begin[i]], j[j >= begin[i]]
+            cosine = unit[i] @ unit[low : int(end[i[0]])].T
+            a, b = np.nonzero(cosine >= least - EDGE)
+            i, j, cosine = i[a], b + low, cosine[a, b]
+            sure = cosine >= least + EDGE
+            for k in np.split(np.nonzero(~sure)[0], range(AT_ONCE, np.count_nonzero(~sure), AT_ONCE)):  # as few partners would be
+                sure[k] = np.einsum("ij,ij->i", unit[i[k]], unit[j[k]]) >= least
+            i, j = i[sure & (j >= begin[i])], j[sure & (j >= begin[i])]
             for k in range(0, len(i), 4096):
                 yield i[k : k + 4096], j[k : k + 4096]
 
 
-def near_links(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, tables: int | None = None, blocks: int | None = None, probes: int | None = None, scale: float | None = None, seed: int = 11) -> DataFrame:
+def near_links(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, tables: int = 6, blocks: int = 2, probes: int = 3, scale: float = 0.65, seed: int = 11) -> DataFrame:
     """(id, n_links, component) of each row: links at cosine `least` or more, and the least id they lead to."""
     v = F.col(vector_col)
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -146,14 +153,13 @@ def near_links(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     rows = vectors.select(F.col(id_col).alias("id"), F.when(F.coalesce(good, F.lit(False)), F.transform(v, lambda x: x.cast(kind) + F.lit(0.0).cast(kind))).alias("v"))
     distinct = rows.filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("least"))
     distinct = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")  # once written, the numbers stay
-    chosen = [own if own is not None else given for own, given in zip((tables, blocks, probes, scale), grid(distinct.count()), strict=True)]
 
     def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, starts, lengths = _flat(b.column(2))
             for d in np.unique(lengths):
                 at = np.nonzero(lengths == d)[0]
-                keys = cell_keys(_unit(flat[starts[at][:, None] + np.arange(d)[None, :]]), *chosen, seed)
+                keys = cell_keys(_unit(flat[starts[at][:, None] + np.arange(d)[None, :]]), tables, blocks, probes, scale, seed)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array(at)) for k in range(3)], listed], ["node", "weight", "v", "keys"])
 

@@ -133,3 +133,28 @@ def test_pairs_as_by_brute_force(monkeypatch):
         monkeypatch.setattr(lattice, "FEW", few)
         got = [(int(a), int(b)) for i, j in lattice._pairs(begin, end, unit, 0.7) for a, b in zip(i, j, strict=True)]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_links_do_not_hang_on_the_number_of_rows(spark, monkeypatch):
+    """A table said to be of a billion vectors has the cells of a small one."""
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(200, 64))
+    y = x + rng.normal(size=x.shape) * 0.33
+    rows = spark.createDataFrame([(k, [float(v) for v in u], 1, 0, "n", 0) for k, u in enumerate([*x, *y])], SCHEMA)
+    want = {r["id"]: (r["n_links"], r["component"]) for r in lattice.near_links(rows).collect()}
+    used, large = [], lattice.grid(10**9)
+    monkeypatch.setattr(lattice, "grid", lambda n: used.append(n) or large)
+    assert {r["id"]: (r["n_links"], r["component"]) for r in lattice.near_links(rows).collect()} == want and not used
+    assert sum(n for n, _ in want.values()) > 100
+
+
+def test_a_cosine_at_the_threshold_does_not_hang_on_the_cell(monkeypatch):
+    rng = np.random.default_rng(32)
+    unit = lattice._unit(rng.normal(size=(120, 64)))
+    begin, end = np.arange(120) + 1, np.full(120, 120)
+    for least in (unit[3] @ unit[50], np.einsum("i,i->", unit[7], unit[90]), np.float64((unit @ unit.T)[20, 70])):
+        found = []
+        for few in (0, 1000):
+            monkeypatch.setattr(lattice, "FEW", few)
+            found.append({(int(a), int(b)) for i, j in lattice._pairs(begin, end, unit, least) for a, b in zip(i, j, strict=True)})
+        assert found[0] == found[1]
