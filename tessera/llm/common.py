@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -95,12 +97,27 @@ _held: dict[object, object] = {}
 def held(key: object, make):
     """make() of this key, kept by a worker until another is asked for: workers serve many stages, and what one needs is no use to the next."""
     if key not in _held:
-        _held.clear()
-        gc.collect()
+        let_go()
         _held[key] = make()
+        trim()
     return _held[key]
 
 
+def let_go() -> None:
+    """Drop what a worker keeps; what needs memory and no model begins with it."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        trim()
+
+
+def trim() -> None:
+    """Hand freed memory back to the system: allocators keep it otherwise, and an executor's workers and its JVM share one limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def few(df: DataFrame) -> DataFrame:
     """A stored table, sent to every executor if it has up to MOST_BROADCAST rows; else joins shuffle."""
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df

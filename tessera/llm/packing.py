@@ -15,22 +15,22 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import buckets_for, held, ranked, stored
+from tessera.llm.common import buckets_for, held, ranked, stored, trim
 
 CAPACITY, END = 4096, 1
-#: Words whose ids a worker remembers, twice at most.
-WORDS = 400_000
+#: Words whose ids a worker remembers, and bytes of these words and ids, twice at most. Forgotten words are tokenized anew.
+WORDS, REMEMBERED = 200_000, 1 << 23
 #: Bytes tokenized at a time.
-CHUNK = 1 << 21
-#: Words handed to the tokenizer at a time: what it keeps of a text is many times the text.
-HANDED = 8192
+CHUNK = 1 << 20
+#: Words, and bytes of words, handed to the tokenizer at a time: what it keeps of a text is many times the text.
+HANDED, HANDED_BYTES = 4096, 1 << 16
 
 
 #: Marks that may end a word: where they follow a letter, the tokenizer parts them from it.
@@ -46,6 +46,18 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def handfuls(words: Iterable[bytes]) -> Iterator[list[bytes]]:
+    part, size = [], 0
+    for w in words:
+        part.append(w)
+        size += len(w)
+        if len(part) == HANDED or size >= HANDED_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word, each word once: this tokenizer drops white space and joins nothing across it.
 
@@ -68,6 +80,11 @@ class WordTokenizer:
             self.last[i] = token.endswith("</w>")
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.size = 0  # bytes in new
+
+    def keep(self, word: bytes, ids: bytes) -> None:
+        self.new[word] = ids
+        self.size += len(word) + len(ids)
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         found = self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
@@ -82,14 +99,14 @@ class WordTokenizer:
         return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.new) > WORDS:
-            self.old, self.new = self.new, {}
+        if len(self.new) > WORDS or self.size > REMEMBERED:
+            self.old, self.new, self.size = self.new, {}, 0
         plain, odd, marked = set(), set(), []
         for w in words:
             if w in self.new:
                 continue
             if w in self.old:
-                self.new[w] = self.old[w]
+                self.keep(w, self.old[w])
                 continue
             base = w.rstrip(MARKS)
             parts = [w]
@@ -100,12 +117,11 @@ class WordTokenizer:
                 if x not in self.new:
                     (plain if _plain(x) else odd).add(x)
         for some, encode in ((plain, self.encode_plain), (odd, self.encode)):
-            words_left = list(some)
-            for at in range(0, len(words_left), HANDED):
-                part = words_left[at : at + HANDED]
-                self.new.update(zip(part, encode(part), strict=True))
+            for part in handfuls(some):
+                for w, ids in zip(part, encode(part), strict=True):
+                    self.keep(w, ids)
         for w, base, marks in marked:
-            self.new[w] = self.new[base] + self.new[marks]
+            self.keep(w, self.new[base] + self.new[marks])
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Of each text (UTF-8), its ids as little-endian 32-bit integers."""
@@ -148,6 +164,7 @@ def pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: int = E
                 columns = [b.column(0).take(pa.array(own)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(ids, pa.binary())] if with_ids else [])], ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
                 at += len(some)
+            trim()
 
     return base.mapInArrow(cut, f"id {base.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 

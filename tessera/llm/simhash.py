@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from tessera.llm.common import few, forget, numbered, stored
+from tessera.llm.common import few, forget, let_go, numbered, stored, trim
 from tessera.llm.graph import components
 
 SEED = 42
@@ -314,6 +314,23 @@ def verified_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     return parent
 
 
+def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, id, set, fp, cover, n) of each (row, id, text)."""
+    let_go()
+    for whole in batches:
+        for at in range(0, whole.num_rows, AT_ONCE):  # few sets at a time
+            b = whole.slice(at, AT_ONCE)
+            got = [shingle_set(t.as_py()) for t in b.column(2)]
+            made = [
+                pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in got], pa.binary()),
+                pa.array([fingerprint(h, WIDE_BITS) for h in got], pa.binary()),
+                pa.array([cover_keys(h) for h in got], pa.list_(pa.int64())),
+                pa.array([len(h) for h in got], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["row", "id", "set", "fp", "cover", "n"])
+        trim()
+
+
 def similar_sets(rows: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """(class, best) of each distinct set of five-word shingles of rows (`_row` tells them apart): classes by links of a Jaccard similarity of 0.8 or more; best: none, id, row of the set's row with the least id (null: last).
 
@@ -321,20 +338,6 @@ def similar_sets(rows: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     lead to is one group, and all pairs of a group are verified on their sets, which travel once (a large group's: once a
     tile).
     """
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, AT_ONCE):  # few sets at a time
-                b = whole.slice(at, AT_ONCE)
-                got = [shingle_set(t.as_py()) for t in b.column(2)]
-                made = [
-                    pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in got], pa.binary()),
-                    pa.array([fingerprint(h, WIDE_BITS) for h in got], pa.binary()),
-                    pa.array([cover_keys(h) for h in got], pa.list_(pa.int64())),
-                    pa.array([len(h) for h in got], pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["row", "id", "set", "fp", "cover", "n"])
-
     base = rows.select(F.col("_row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     out = StructType([base.schema["row"], base.schema["id"], StructField("set", BinaryType()), StructField("fp", BinaryType()), StructField("cover", ArrayType(LongType())), StructField("n", LongType())])
     known = stored(base.mapInArrow(read, out), "simhash")

@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
@@ -84,3 +86,27 @@ def test_forgetting_words_changes_nothing(monkeypatch):
     plain = Tokenizer.from_file(queries.word_tokenizer())
     for r in documents()[9:40]:
         assert t.ids([r[1].encode()])[0] == np.array(plain.encode(r[1], add_special_tokens=False).ids, "<u4").tobytes()
+
+
+GROWTH = """
+import re, sys
+from pyspark.sql import functions
+from tessera.llm import packing, queries
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+t, width = packing.WordTokenizer(queries.word_tokenizer()), int(sys.argv[1])
+letter, most, before = "abcdefghijklmnop", 0, held()
+word = lambda i: "".join(letter[i >> k & 15] for k in range(0, 20, 4)) * width
+for at in range(0, int(sys.argv[2]), 10_000):
+    t.ids([" ".join(map(word, range(at, at + 10_000))).encode()])
+    most = max(most, held() - before)
+print(most)
+"""
+
+
+def test_memory_for_unlike_words_is_bounded():
+    for width, n in ((1, 600_000), (20, 100_000)):  # many short words; long ones
+        ran = subprocess.run([sys.executable, "-c", GROWTH, str(width), str(n)], capture_output=True, text=True, timeout=300, check=True)
+        assert float(ran.stdout) < 75
